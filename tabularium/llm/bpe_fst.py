@@ -21,8 +21,8 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Characters of a chunk of the pre-token machine, bytes of a run of the token machine, compiled transitions kept.
-CHUNK, RUN, MAX_EDGES = 128, 1024, 3_000_000
+#: Characters of a chunk of the pre-token machine, bytes of a run of the token machine and of a pass over it, compiled transitions kept.
+CHUNK, RUN, STRIDE, MAX_EDGES = 128, 1024, 64, 1_500_000
 
 # Character classes of the pre-token machine: letter, number, other, space, other white space; apostrophes that open a
 # contraction of one or two letters count apart, as do white-space characters that are followed by a non-white one.
@@ -175,7 +175,7 @@ class Transducer:
                 node = to
             self.token[node] = k
         self.stable: dict[tuple[int, int], bool] = {}
-        self.bits = max(10, int(size * 2 - 1).bit_length())
+        self.bits = max(10, int(size * 4 // 3).bit_length())
         self.size = size
         self._clear()
 
@@ -213,27 +213,29 @@ class Transducer:
         self.stable[a, b] = ok
         return ok
 
-    def _compile(self, state: int, byte: int) -> None:
-        opened = []
-        for node, before, count in self.states[state]:
-            to = self.child.get(node << 8 | byte)
-            if to is not None:
-                opened.append((to, before, count))
-        chosen = next((x for x in opened if self.token[x[0]] >= 0 and self._is_stable(x[1], self.token[x[0]])), None)
-        if chosen is None:
-            raise ValueError("the vocabulary lacks a byte")
-        token, delta = self.token[chosen[0]], chosen[2] + 1
-        state_to = (*((to, before, count - delta) for to, before, count in opened), (0, token, 0))
-        number = self.state_of.get(state_to)
-        if number is None:
-            number = self.state_of[state_to] = len(self.states)
-            self.states.append(state_to)
-        key = state << 8 | byte
-        slot = self._slot(np.array([key]))[0]
-        while self.key[slot] >= 0:
-            slot = (slot + 1) & ((1 << self.bits) - 1)
-        self.key[slot], self.to[slot], self.delta[slot], self.last[slot] = key, number, delta, token
-        self.edges += 1
+    def _compile(self, keys: list[int]) -> None:
+        child, tokens, shift, mask = self.child, self.token, 64 - self.bits, (1 << self.bits) - 1
+        table = self.key
+        for key in keys:
+            state, byte = key >> 8, key & 255
+            opened = [(to, before, count) for node, before, count in self.states[state] if (to := child.get(node << 8 | byte)) is not None]
+            for node, before, count in opened:
+                token = tokens[node]
+                if token >= 0 and self._is_stable(before, token):
+                    break
+            else:
+                raise ValueError("the vocabulary lacks a byte")
+            delta = count + 1
+            state_to = (*[(to, before, count - delta) for to, before, count in opened], (0, token, 0))
+            number = self.state_of.setdefault(state_to, len(self.states))
+            if number == len(self.states):
+                self.states.append(state_to)
+            slot = (key * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> shift
+            while table[slot] >= 0:
+                slot = (slot + 1) & mask
+            table[slot] = key
+            self.to[slot], self.delta[slot], self.last[slot] = number, delta, token
+        self.edges += len(keys)
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -271,33 +273,31 @@ class Transducer:
         ends = np.zeros(n, np.int32) if want_ids else None
         state = np.zeros(len(starts), np.int64)
         lengths, live = stops - starts, len(starts)
-        for step in range(int(lengths[0]) if n else 0):
-            while live and lengths[live - 1] <= step:
-                live -= 1
-            at = starts[:live] + step
-            now = state[:live]
-            now[begins[at]] = 0
-            keys = now << 8 | data[at]
-            slot = self._find(keys)
-            missing = slot < 0
-            if missing.any():
-                if self.edges > self.size:
-                    counts_, ends_ = self._restart(data, begins, firsts, want_ids)
-                    return counts_[0], counts_[1], ends_
-                for key in np.unique(keys[missing]).tolist():
-                    self._compile(key >> 8, key & 255)
+        for low in range(0, int(lengths[0]) if n else 0, STRIDE):
+            # The next STRIDE bytes of all live runs, one row a step.
+            live = int(np.searchsorted(-lengths, -low, "left"))
+            at = np.minimum(starts[:live] + np.arange(low, low + STRIDE)[:, None], n - 1)
+            bytes_, kept = data[at].astype(np.int64), np.where(begins[at], 0, -1)
+            tokens = np.empty(at.shape, np.int32) if want_ids else None
+            for k in range(min(STRIDE, int(lengths[0]) - low)):
+                now_live = int(np.searchsorted(-lengths[:live], -(low + k), "left"))
+                keys = (state[:now_live] & kept[k, :now_live]) << 8 | bytes_[k, :now_live]
                 slot = self._find(keys)
-            state[:live] = self.to[slot]
-            counts[:live] += self.delta[slot]
+                if len(slot) and slot.min() < 0:
+                    if self.edges > self.size:
+                        self._clear()
+                        return self.run(data, begins, firsts, want_ids)
+                    self._compile(np.unique(keys[slot < 0]).tolist())
+                    slot = self._find(keys)
+                state[:now_live] = self.to[slot]
+                counts[:now_live] += self.delta[slot]
+                if want_ids:
+                    tokens[k, :now_live] = self.last[slot]
             if want_ids:
-                ends[at] = self.last[slot]
+                inside = np.arange(low, low + STRIDE)[:, None] < lengths[:live]
+                ends[at[inside]] = tokens[inside]
         return text, counts, self._ends(ends, starts, stops, begins) if want_ids else None
 
-    def _restart(self, data: np.ndarray, begins: np.ndarray, firsts: np.ndarray, want_ids: bool) -> tuple[tuple, np.ndarray | None]:
-        self._clear()
-        text, counts, ends = self.run(data, begins, firsts, want_ids)
-        return (text, counts), ends
-
     def _ends(self, last: np.ndarray, starts: np.ndarray, stops: np.ndarray, begins: np.ndarray) -> np.ndarray:
         """Walk back from each run's end over its tokens; keep the ordinals at the bytes where tokens end."""
         out = np.full(len(last), -1, np.int32)
