@@ -9,17 +9,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import media, packing, tokens
+from . import line_dedup, media, near_dedup, packing, tokens
 
 BPE = "byte_bpe_50k.json"
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every non-blank line of the documents, where its component begins and whether it stays."""
+    return line_dedup.line_components(table(spark, sf_dir, "documents"))
+
+
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts stored as 8-bit PGM images, read back, with digests."""
     stored = media.stored_media(table(spark, sf_dir, "documents"), "doc_id", "text")
     return media.media_features(stored).withColumnRenamed("key", "doc_id")
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of the documents."""
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 tokens."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE))
@@ -31,5 +41,5 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_media_columns, op6_packing, op7_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_media_columns, op5_near_dedup, op6_packing, op7_token_counts)}
 ORACLES: dict[str, str] = {}
