@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import line_dedup, media, near_dedup, packing, tokens
+from . import chat, html_extract, line_dedup, media, near_dedup, packing, tokens, topk
 
 BPE = "byte_bpe_50k.json"
 
@@ -25,6 +25,16 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(stored).withColumnRenamed("key", "doc_id")
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation from each participant's perspective."""
+    return chat.perspectives(table(spark, sf_dir, "conversations"))
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of the documents."""
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
@@ -41,5 +51,20 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_media_columns, op5_near_dedup, op6_packing, op7_token_counts)}
-ORACLES: dict[str, str] = {}
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best of all vectors for every fiftieth."""
+    return topk.top_k(topk.quantised(table(spark, sf_dir, "embeddings")), "vec_id % 50 = 0", 5)
+
+
+_ALL = (
+    op1_line_dedup,
+    op2_media_columns,
+    op3_html_extraction,
+    op4_chat_formatting,
+    op5_near_dedup,
+    op6_packing,
+    op7_token_counts,
+    op8_top_k,
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
+ORACLES: dict[str, str] = {"op4_chat_formatting": chat.PERSPECTIVES_SQL, "op8_top_k": topk.TOP_5_SQL}
