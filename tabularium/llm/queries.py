@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import chat, html_extract, line_dedup, media, near_dedup, packing, tokens, topk
+from . import chat, html_extract, line_dedup, media, near_dedup, packing, tokens, topk, toxicity
 
 BPE = "byte_bpe_50k.json"
 
@@ -56,6 +56,21 @@ def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(topk.quantised(table(spark, sf_dir, "embeddings")), "vec_id % 50 = 0", 5)
 
 
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, low_quality, toxic): the categories of the chain, in order."""
+    return table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+
+
+CATEGORIES = ["low_quality", "toxic"]
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probabilities of the chain's categories and the decision for every document."""
+    docs = table(spark, sf_dir, "documents")
+    chain = toxicity.train(docs, labelled(spark, sf_dir), CATEGORIES)
+    return toxicity.score(docs, chain, CATEGORIES).withColumn("rejected", F.col("p_toxic") >= 0.5)
+
+
 _ALL = (
     op1_line_dedup,
     op2_media_columns,
@@ -65,6 +80,7 @@ _ALL = (
     op6_packing,
     op7_token_counts,
     op8_top_k,
+    op10_toxicity,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 ORACLES: dict[str, str] = {"op4_chat_formatting": chat.PERSPECTIVES_SQL, "op8_top_k": topk.TOP_5_SQL}
