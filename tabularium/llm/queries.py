@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import chat, html_extract, line_dedup, media, near_dedup, packing, tokens, topk, toxicity
+from . import chat, html_extract, line_dedup, media, near_dedup, packing, sp_viterbi, tokens, topk, toxicity
 
-BPE = "byte_bpe_50k.json"
+BPE, SENTENCEPIECE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +56,11 @@ def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(topk.quantised(table(spark, sf_dir, "embeddings")), "vec_id % 50 = 0", 5)
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SentencePiece ids of every document as digests, and whether they decode to the document again."""
+    return sp_viterbi.round_trips(table(spark, sf_dir, "documents"), public_tokenizers.path(SENTENCEPIECE))
+
+
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, low_quality, toxic): the categories of the chain, in order."""
     return table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
@@ -80,6 +85,7 @@ _ALL = (
     op6_packing,
     op7_token_counts,
     op8_top_k,
+    op9_sentencepiece,
     op10_toxicity,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
