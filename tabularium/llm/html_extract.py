@@ -79,7 +79,8 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool, bool]]:
                 yield "link" if links else "word", piece, bool(never), False
             continue
         name = name.lower()
-        if m[1]:  # an end tag closes up to its like
+        if m[1]:  # an end tag closes up to its like, and itself belongs to what it ends
+            inside = bool(never)
             if any(x == name for x, _ in stack):
                 while True:
                     x, was = stack.pop()
@@ -87,7 +88,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool, bool]]:
                     links -= x == "a"
                     if x == name:
                         break
-            yield kind_of(name), "", bool(never), name not in INLINE and name != "br"
+            yield kind_of(name), "", inside, name not in INLINE and name != "br"
             continue
         if name in RAW:  # its content is not markup
             lower = page.lower() if lower is None else lower
