@@ -59,6 +59,6 @@ def number(raw: Column) -> Column:
 
 def alpha(raw: Column, charset: str = "UTF-8") -> Column:
     """Text up to the first NUL, in an encoding that Spark decodes (ISO-8859-1, US-ASCII, UTF-8, UTF-16, UTF-32)."""
-    end = F.instr(F.decode(raw, F.lit("ISO-8859-1")), "\0")
+    end = F.instr(F.decode(raw, "ISO-8859-1"), "\0")
     cut = F.when(end > 0, F.substring(raw, F.lit(1), end - 1)).otherwise(raw)
-    return _unless_null(raw, F.decode(cut, F.lit(charset)))
+    return _unless_null(raw, F.decode(cut, charset))

@@ -28,9 +28,15 @@ def read_table(spark: SparkSession, directory: str, table: str, **options: Any)
     """All rows of a table (or of all that match a pattern); options as in sources.blocktable. pushdown=True sets the session's flag for it."""
     register(spark)
     text = {k: str(v).lower() if isinstance(v, bool) else ",".join(v) if isinstance(v, (list, tuple)) else str(v) for k, v in options.items()}
-    if text.get("pushdown") == "true":
-        spark.conf.set(PUSHDOWN, "true")
-    return spark.read.format(NAME).option("table", table).options(**text).load(directory)
+    reader = spark.read.format(NAME).option("table", table)
+    if text.get("pushdown") != "true":
+        return reader.options(**text).load(directory)
+    spark.conf.set(PUSHDOWN, "true")
+    # Spark keeps the partitions of a source's last pushed filters and uses them again when a later query over the same
+    # DataFrame pushes none, so one filter that always holds goes along.
+    wanted = next((v for k, v in text.items() if k.lower() == "rowids"), "false")
+    df = reader.options(**{k: v for k, v in text.items() if k.lower() != "rowids"}, rowIds="true").load(directory).filter("_block >= 0")
+    return df if wanted == "true" else df.drop("_block", "_rec", "_table")
 
 
 def read_index(spark: SparkSession, directory: str, table: str, **options: Any) -> DataFrame:

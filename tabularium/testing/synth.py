@@ -37,7 +37,7 @@ def encode(column: Column, blobs: bytearray | None = None) -> np.ndarray:
         values, null = _numbers(column.values)
         bits = 16 if kind == "Short" else 32
         assert not n or (values.min() >= -(1 << bits - 1) and values.max() < 1 << bits - 1)
-        out[:] = (values.astype(np.int64) + (1 << bits - 1)).astype(f">u{bits // 8}").view(np.uint8).reshape(n, -1)
+        out[:] = (values.astype(np.int64) + (1 << bits - 1)).astype(f">u{bits // 8}").view(np.uint8).reshape(n, bits // 8)
         out[null] = 0
     elif kind in ("Number", "Currency", "Timestamp"):
         values, null = _numbers(column.values)
