@@ -27,8 +27,8 @@ from ..runtime import ship
 from .arrow_text import blocks
 
 MARK = "▁"
-#: Words longer than this advance one by one, and so many stability results are kept.
-LONG_WORD, MOST_KNOWN = 40, 1_000_000
+#: Words longer than this advance one by one; so many stability results are kept, those of arrays in 2**KNOWN_BITS slots.
+LONG_WORD, MOST_KNOWN, KNOWN_BITS = 40, 1_000_000, 20
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _NONE = -1
 
@@ -93,7 +93,7 @@ class Pieces:
             keys = np.array([a * len(ordered) + b for a, b in self.merged], np.int64)
             order = np.argsort(keys)
             self.pair_keys, self.pair_to = keys[order], np.array(list(self.merged.values()), np.int64)[order]
-        self.seen_keys, self.seen = np.zeros(0, np.int64), np.zeros(0, bool)
+        self.seen_keys, self.seen = np.full(1 << KNOWN_BITS, -1, np.int64), np.zeros(1 << KNOWN_BITS, bool)
         self.longest = max((len(x[0]) for x in ordered), default=1)
         self.power = np.power(_BASE, np.arange(LONG_WORD + 2, dtype=np.uint64))
         inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -162,17 +162,15 @@ class Pieces:
     def _stable(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """_stable_one of arrays; an unknown character (-1) is stable beside anything."""
         keys = np.where((a < 0) | (b < 0), -1, a * len(self.id) + b)
-        distinct, back = np.unique(keys, return_inverse=True)
-        at = np.searchsorted(self.seen_keys, distinct)
-        at_ = np.minimum(at, max(len(self.seen_keys) - 1, 0))
-        known = self.seen_keys[at_] == distinct if len(self.seen_keys) else np.zeros(len(distinct), bool)
-        out = np.ones(len(distinct), bool)
-        out[known] = self.seen[at_[known]]
-        new = np.flatnonzero(~known & (distinct >= 0))
-        if len(new):
-            x, y = distinct[new] // len(self.id), distinct[new] % len(self.id)
-            bound, open_ = np.full(len(new), 1 << 60), np.arange(len(new))
-            result = np.ones(len(new), bool)
+        slot = ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - KNOWN_BITS)).astype(np.int64)
+        out = self.seen[slot]
+        out[keys < 0] = True
+        missing = np.flatnonzero((self.seen_keys[slot] != keys) & (keys >= 0))
+        if len(missing):
+            distinct, first, back = np.unique(keys[missing], return_index=True, return_inverse=True)
+            x, y = distinct // len(self.id), distinct % len(self.id)
+            bound, open_ = np.full(len(distinct), 1 << 60), np.arange(len(distinct))
+            result = np.ones(len(distinct), bool)
             while len(open_):
                 pair = x[open_] * len(self.id) + y[open_]
                 k = np.minimum(np.searchsorted(self.pair_keys, pair), max(len(self.pair_keys) - 1, 0))
@@ -186,13 +184,13 @@ class Pieces:
                 x[l] = self.right[x[l]]
                 bound[r] = y[r] + 1
                 y[r] = self.left[y[r]]
-            out[new] = result
-            if len(self.seen_keys) > MOST_KNOWN:
-                self.seen_keys, self.seen = np.zeros(0, np.int64), np.zeros(0, bool)
-            merged = np.concatenate([self.seen_keys, distinct[new]])
-            order = np.argsort(merged, kind="stable")
-            self.seen_keys, self.seen = merged[order], np.concatenate([self.seen, result])[order]
-        return out[back]
+            out[missing] = result[back]
+            at = slot[missing[first]]  # of pairs that share a slot one stays
+            self.seen_keys[at] = distinct
+            self.seen[at] = result
+            lost = self.seen_keys[at] != distinct
+            self.seen_keys[at[lost]] = -1
+        return out
 
     def viterbi(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """([words, length] ordinals in reading order, -1 for an unknown character and -2 beyond the last; number of pieces) of words of equal length."""
