@@ -25,8 +25,11 @@ from .shingles import _LOWER, _powers, mixed
 
 #: Bits of the feature hash, lengths (bytes) of word beginnings, numbers of occurrences told apart, folds, features of a category and the least chi-squared value.
 BITS, BEGINNINGS, LEVELS, FOLDS, MOST, LEAST = 20, (4, 5, 6), (1, 2, 3, 5), 4, 2048, 20.0
+#: Occurrences a word that are told apart, besides.
+RATES = (0.005, 0.02)
 MAX_TRAIN = 4000
-RATIOS = 6
+#: Ratios of a text's bytes, and which of them is the logarithm of its number of words.
+RATIOS, WORDS_AT = 6, 4
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _UPPER = np.zeros(256, bool)
@@ -75,14 +78,16 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def at_level(feature: np.ndarray, level: int) -> np.ndarray:
-    """The feature "occurs at least `level` times"."""
-    return (feature * 0x9E3B1 + level * 0x85EBD + (feature >> 7)) & (1 << BITS) - 1 if level > 1 else feature
+    """The feature "occurs that often"; level numbers LEVELS and then RATES."""
+    return (feature * 0x9E3B1 + level * 0x85EBD + (feature >> 7)) & (1 << BITS) - 1 if level else feature
 
 
-def occurring(owner: np.ndarray, feature: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def occurring(owner: np.ndarray, feature: np.ndarray, ratios: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (text, feature with level) pairs, sorted by text and feature."""
     pairs, count = np.unique(owner << BITS | feature, return_counts=True)
-    found = [(pairs[count >= t] >> BITS << BITS) | at_level(pairs[count >= t] & (1 << BITS) - 1, t) for t in LEVELS]
+    words = np.expm1(ratios[pairs >> BITS, WORDS_AT] * 10)
+    passed = [count >= t for t in LEVELS] + [count >= r * words for r in RATES]
+    found = [(pairs[ok] >> BITS << BITS) | at_level(pairs[ok] & (1 << BITS) - 1, k) for k, ok in enumerate(passed)]
     pairs = np.unique(np.concatenate(found))
     return pairs >> BITS, pairs & (1 << BITS) - 1
 
@@ -118,8 +123,8 @@ class Linear:
 
     @staticmethod
     def _fit(x: np.ndarray, y: np.ndarray, rounds: int = 150, ridge: float = 0.3) -> np.ndarray:
-        """Accelerated gradient descent on class-balanced log loss; the step comes from the largest curvature, by power iteration."""
-        balance = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean())).astype(np.float32)
+        """Accelerated gradient descent on log loss, half way to balanced classes; the step comes from the largest curvature, by power iteration."""
+        balance = np.sqrt(np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))).astype(np.float32)
         v = np.ones(x.shape[1], np.float32)
         for _ in range(12):
             v = x.T @ (balance * (x @ v))
@@ -154,14 +159,14 @@ class Chain:
         for u in used:
             self.used[u] = True
         every = np.arange(1 << BITS)
-        self.used = np.logical_or.reduce([self.used[at_level(every, t)] for t in LEVELS])
+        self.used = np.logical_or.reduce([self.used[at_level(every, k)] for k in range(len(LEVELS) + len(RATES))])
 
     def probabilities(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """[texts, categories]."""
         owner, feature, ratios = features(data, offsets)
         some = np.bincount(owner, minlength=len(ratios)) > 0
         keep = self.used[feature]
-        owner, feature = occurring(owner[keep], feature[keep])
+        owner, feature = occurring(owner[keep], feature[keep], ratios)
         dense, out = ratios, np.zeros((len(ratios), len(self.models)))
         for k, model in enumerate(self.models):
             out[:, k] = model.probability(owner, feature, dense)
@@ -203,7 +208,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], max_train:
         for batch in batches:
             for rows, data, offsets in blocks(batch, "text"):
                 owner, feature, ratios = features(data, offsets)
-                owner, feature = occurring(owner, feature)
+                owner, feature = occurring(owner, feature, ratios)
                 edges = np.searchsorted(owner, np.arange(len(ratios) + 1)).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(feature.astype(np.int32)))
                 dense = pa.ListArray.from_arrays(pa.array(np.arange(0, ratios.size + 1, RATIOS, dtype=np.int32)), pa.array(ratios.ravel()))

@@ -104,7 +104,7 @@ def labelled_texts(n, seed):
 
 def occurrences(texts):
     owner, feature, ratios = toxicity.features(*raw(pa.array(texts, pa.string())))
-    owner, feature = toxicity.occurring(owner, feature)
+    owner, feature = toxicity.occurring(owner, feature, ratios)
     return [feature[owner == k] for k in range(len(texts))], ratios
 
 
@@ -130,7 +130,7 @@ def test_features_against_plain_counting():
         for k in toxicity.BEGINNINGS:
             if len(w) > k:
                 counts[k, w[:k]] += 1
-    assert len(rows[0]) == sum(sum(c >= t for t in toxicity.LEVELS) for c in counts.values())
+    assert len(rows[0]) == sum(sum(c >= t for t in toxicity.LEVELS) + sum(c >= r * len(words) for r in toxicity.RATES) for c in counts.values())
     assert len(rows[1]) == len(rows[3]) == 0 and ratios[0, 0] == pytest.approx(8 / 24)
 
 
