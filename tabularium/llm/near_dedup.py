@@ -2,15 +2,17 @@
 
 A document's signature has SYMBOLS MinHash values of b = BITS bits; two documents' distance is the number of symbols in
 which they differ. Signatures are split into CHUNKS chunks of four symbols. By the pigeonhole principle two signatures
-within DISTANCE = 2 * CHUNKS - 1 agree in some chunk but for at most one symbol, so every allowed error is enumerated:
-each chunk gives four keys, each with one symbol left out. All pairs within the distance share a key; at the threshold
-similarity of 0.8 a pair lies beyond it with a probability of about one in ten million. Every pair is then confirmed on
-the full shingle sets.
+within 2 * CHUNKS - 1 agree in some chunk but for at most one symbol, so every allowed error is enumerated: each chunk
+gives four keys, each with one symbol left out. All pairs within DISTANCE share a key; at the threshold similarity of
+0.8 a pair lies beyond it with a probability of some 0.00005, less above. Every pair is then confirmed on the full
+shingle sets.
 
 Documents with equal sets form one class first, and only one document of each class is indexed, so copies never meet in
-a key. Within a key, members are first compared with its smallest and its largest member alone, and what is linked is united;
-only keys that then still hold several components compare members across components, under the distance test inside
-the join. Nothing is capped: hot copies cost a partial aggregate, hot near copies a comparison each.
+a key. Each member is first compared with the smallest member of its keys and the one that is smallest in most of them,
+and what is linked is united. Only keys that then still hold several components compare members across components, each pair in
+its first common key alone, and only where the sets can be similar enough: shingles that no other such document has
+can't be shared, which bounds the intersection. Nothing is capped: hot copies cost a partial aggregate, hot near copies two
+comparisons each.
 """
 
 from __future__ import annotations
@@ -29,7 +31,10 @@ from .components import components
 from .shingles import WORDS, mixed, shingle_hashes, shingle_sets
 
 SYMBOLS, CHUNKS, BITS = 64, 16, 14
-DISTANCE = 2 * CHUNKS - 1
+#: The signature distance up to which all pairs are found; at most 2 * CHUNKS - 1.
+DISTANCE = 26
+#: Cells of the broadcast filter of wanted ids: at most so many rows, whatever the input.
+FILTER_CELLS = 1 << 20
 #: Link documents with PERCENT * union <= 100 * intersection.
 PERCENT = 80
 _FACTORS = mixed(np.arange(1, SYMBOLS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -85,6 +90,41 @@ def distance(a: str, b: str) -> Column:
     return reduce(lambda x, y: x + y, words)
 
 
+def first_common(a: str, b: str, key: str) -> Column:
+    """Whether key number `key` is the first that two signatures share, so that a pair is compared once."""
+    low = sum(((1 << BITS) - 1) << (BITS + 1) * k for k in range(4))
+    spare = sum(1 << ((BITS + 1) * k + BITS) for k in range(4))
+    out = F.lit(True)
+    for c in range(CHUNKS):
+        errors = F.bit_count((F.col(a)[c].bitwiseXOR(F.col(b)[c]) + F.lit(low)).bitwiseAND(F.lit(spare)))
+        # No earlier chunk is shared; a chunk that agrees in full has four keys, of which the first counts.
+        out = out & ((F.col(key) < 4 * c) | (F.col(key) >= 4 * c + 4) & (errors > 1) | (F.col(key) == 4 * c) | (F.col(key) < 4 * c + 4) & (errors > 0))
+    return out
+
+
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, text) of all documents in ids (id), and of a few others: a filter by hash cells that goes before any shuffle."""
+    cell = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_CELLS))
+    cells = ids.select(cell("id").alias("__cell")).distinct()
+    return docs.select("doc_id", docs["text"].cast("string").alias("text")).join(F.broadcast(cells), cell("doc_id") == F.col("__cell"), "semi")
+
+
+def shared_shingles(ids: DataFrame, docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """(id, alone): how many shingles of a document no other document in ids (id, distinct) has. Equal sets should be there once."""
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, data, offsets in blocks(batch, "text"):
+                sets = shingle_sets(data, offsets, words)
+                at = pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in sets]))
+                yield pa.RecordBatch.from_arrays([rows.column(0).take(at), pa.array(np.concatenate(sets).view(np.int64))], ["id", "shingle"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    texts = texts_of(docs, ids).join(ids.select(F.col("id").alias("doc_id")), "doc_id", "semi").dropDuplicates(["doc_id"])
+    each = texts.mapInArrow(explode, f"id {kind}, shingle long")
+    return each.groupBy("shingle").agg(F.count("*").alias("n"), F.min("id").alias("id")).filter("n = 1").groupBy("id").agg(F.count("*").alias("alone"))
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Those pairs (a, b) of doc_ids whose full shingle sets are similar enough."""
 
@@ -100,7 +140,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int = WORDS, percent: in
                 yield pa.RecordBatch.from_arrays([rows.column(k).filter(pa.array(keep, pa.bool_())) for k in (0, 1)], ["a", "b"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.select("doc_id", docs["text"].cast("string").alias("text"))
+    pairs = written(pairs.select("a", "b"), "pairs")
+    texts = texts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")))
     joined = pairs.select("a", "b").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     joined = joined.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(compare, f"a {kind}, b {kind}")
@@ -118,29 +159,44 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     # One document stands for each set.
     found = signed.filter("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
     classes = written(found, "classes")
-    keys = classes.select(F.explode(index_keys()).alias("key"), "id")
+    keys = classes.select(F.posexplode(index_keys()).alias("number", "key"), "id")
     shared = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high")
-    members = written(keys.join(shared, "key"), "members")
-    stars = members.select(F.col("low").alias("a"), F.col("id").alias("b")).unionAll(members.select(F.col("id").alias("a"), F.col("high").alias("b"))).filter("a < b").distinct()
+    members = written(keys.join(shared.select("key", "low").hint("shuffle_hash"), "key"), "members")
     signs = classes.select("id", "n", "signature")
     left = signs.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("signature").alias("s_a"))
     right = signs.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("signature").alias("s_b"))
-    sizes = (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
-    close = stars.join(left, "a").join(right, "b").filter(sizes & (distance("s_a", "s_b") <= DISTANCE)).select("a", "b")
-    linked = written(confirmed(close, docs, words, percent), "links")
-    united = components(linked)
+    close = (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent) & (distance("s_a", "s_b") <= DISTANCE)
+
+    def united(roots: DataFrame, links: DataFrame) -> DataFrame:
+        """(id, root) after uniting the components that links (a, b) join."""
+        of = lambda end: roots.select(F.col("id").alias(end), F.col("root").alias(f"r_{end}"))
+        joined = components(links.join(of("a"), "a").join(of("b"), "b").select("r_a", "r_b"), "r_a", "r_b")
+        merged = roots.join(joined.select(F.col("id").alias("root"), F.col("root").alias("__new")), "root", "left")
+        return written(merged.select("id", F.coalesce("__new", "root").alias("root")), "roots")
+
+    votes = members.groupBy("id", "low").agg(F.count("*").alias("n")).groupBy("id")
+    nearest = written(votes.agg(F.min("low").alias("least"), F.max_by("low", F.struct("n", "low")).alias("most")), "nearest")
+    stars = nearest.select(F.explode(F.array("least", "most")).alias("a"), F.col("id").alias("b")).filter("a < b").distinct()
+    links = written(confirmed(stars.join(left, "a").join(right, "b").filter(close), docs, words, percent), "links")
+    roots = united(nearest.select("id", F.col("id").alias("root")), links)
     # Keys that still hold several components: compare across them.
-    rooted = members.select("key", "id").join(united, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-    rooted = written(rooted, "rooted")
-    mixed_keys = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
-    open_ = rooted.join(mixed_keys, "key").join(signs, "id")
-    x = open_.select("key", F.col("id").alias("a"), F.col("root").alias("r_a"), F.col("n").alias("n_a"), F.col("signature").alias("s_a"))
-    y = open_.select("key", F.col("id").alias("b"), F.col("root").alias("r_b"), F.col("n").alias("n_b"), F.col("signature").alias("s_b"))
-    across = (F.col("a") < F.col("b")) & (F.col("r_a") != F.col("r_b"))
-    more = x.join(y, "key").filter(across & sizes & (distance("s_a", "s_b") <= DISTANCE)).select("a", "b").distinct()
-    more = written(confirmed(more, docs, words, percent), "links")
-    whole = components(linked.unionAll(more)) if more.take(1) else united
-    by_set = classes.join(whole, "id", "left").select("h1", "h2", F.coalesce("root", "id").alias("__root"))
+    rooted = members.select("key", "number", "id").join(roots, "id")
+    apart = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
+    open_ = written(rooted.join(apart.hint("shuffle_hash"), "key"), "open")
+    alone = shared_shingles(open_.select("id").distinct(), docs, words)
+    # Shingles in common are at most those that others have, and must be percent of the set at least.
+    able = F.col("n") - F.coalesce("alone", F.lit(0))
+    bounded = signs.join(open_.select("id").distinct(), "id", "semi").join(alone, "id", "left").withColumn("able", able).filter(F.col("able") * 100 >= F.col("n") * percent)
+    open_ = open_.join(bounded.select("id", "n", "able", "signature"), "id")
+    x = open_.select("key", "number", F.col("id").alias("a"), F.col("root").alias("r_a"), F.col("n").alias("n_a"), F.col("able").alias("m_a"), F.col("signature").alias("s_a"))
+    y = open_.select("key", F.col("id").alias("b"), F.col("root").alias("r_b"), F.col("n").alias("n_b"), F.col("able").alias("m_b"), F.col("signature").alias("s_b"))
+    most = F.least("m_a", "m_b")
+    across = (F.col("a") < F.col("b")) & (F.col("r_a") != F.col("r_b")) & (most * 100 >= (F.col("n_a") + F.col("n_b") - most) * percent)
+    more = x.join(y, "key").filter(across & close & first_common("s_a", "s_b", "number")).select("a", "b")
+    links = written(confirmed(more, docs, words, percent), "links")
+    if links.take(1):
+        roots = united(roots, links)
+    by_set = classes.join(roots, "id", "left").select("h1", "h2", F.coalesce("root", "id").alias("__root"))
     out = signed.select("doc_id", "n_shingles", "h1", "h2").join(by_set, ["h1", "h2"], "left")
     root = F.coalesce("__root", "doc_id")
     return out.select("doc_id", "n_shingles", root.alias("component_id"), (root == F.col("doc_id")).alias("kept"))
