@@ -151,7 +151,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     """(doc_id, n_shingles, component_id, kept) for every row of docs (doc_id, text).
 
     component_id is the smallest doc_id reachable over links. Null, empty and wordless texts are linked with nothing.
-    Rows that repeat a doc_id are one document to the links (their texts should be equal); each gives a row.
+    Rows that repeat a doc_id are one document to the links (their texts should be equal); each gives a row. A row without a doc_id
+    takes the component of its equals, if they have ids, else none, and is kept.
     """
     ship(docs.sparkSession)
     docs = docs.select("doc_id", "text")
@@ -199,4 +200,25 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     by_set = classes.join(roots, "id", "left").select("h1", "h2", F.coalesce("root", "id").alias("__root"))
     out = signed.select("doc_id", "n_shingles", "h1", "h2").join(by_set, ["h1", "h2"], "left")
     root = F.coalesce("__root", "doc_id")
-    return out.select("doc_id", "n_shingles", root.alias("component_id"), (root == F.col("doc_id")).alias("kept"))
+    return out.select("doc_id", "n_shingles", root.alias("component_id"), root.eqNullSafe(F.col("doc_id")).alias("kept"))
+
+
+#: DuckDB SQL for near_duplicates() of the table documents: exact similarities of all pairs that share a shingle, and their closure.
+NEAR_DUPLICATES_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                             '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS w
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS shingle
+  FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM pair JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+step AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach AS (SELECT a, b FROM step UNION SELECT r.a, t.b FROM reach r JOIN step t ON r.b = t.a),
+root AS (SELECT a AS doc_id, least(a, min(b)) AS root FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(root.root, d.doc_id) AS component_id, coalesce(root.root, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN root USING (doc_id)
+"""

@@ -89,4 +89,4 @@ _ALL = (
     op10_toxicity,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
-ORACLES: dict[str, str] = {"op4_chat_formatting": chat.PERSPECTIVES_SQL, "op8_top_k": topk.TOP_5_SQL}
+ORACLES: dict[str, str] = {"op4_chat_formatting": chat.PERSPECTIVES_SQL, "op5_near_dedup": near_dedup.NEAR_DUPLICATES_SQL, "op8_top_k": topk.TOP_5_SQL}

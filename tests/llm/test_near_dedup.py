@@ -83,3 +83,12 @@ def test_empty_table_and_clashing_columns(spark):
     rows = [(1, "a b c d e", "x", 1), (1, "a b c d e", "x", 1), (2, "a b c d e", "y", 2)]
     out = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, kept string, component_id int"))
     assert sorted(map(tuple, out.collect())) == [(1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False)]
+
+
+def test_rows_without_an_id_are_kept(spark, sf):
+    import corpus_pipeline
+
+    rows = [(None, "a b c d e", "en", "s", 9), (None, "x y", "en", "s", 3), (3, "a b c d e", "en", "s", 9), (4, "a b c d e", "en", "s", 9), (5, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.without_near_copies(spark, docs, sf)
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted((r for r in rows if r[0] != 4), key=str)
