@@ -11,6 +11,8 @@ from functools import lru_cache
 import numpy as np
 
 WORDS = 4
+#: Characters of a character shingle.
+CHARACTERS = 5
 _LOWER = np.arange(256, dtype=np.uint64)
 _LOWER[65:91] += 32
 _WHITE = np.zeros(256, bool)
@@ -76,3 +78,23 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> l
     """The sorted distinct shingle hashes of each text."""
     value, bounds = shingle_hashes(data, offsets, words)
     return [np.unique(value[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
+def character_hashes(data: np.ndarray, offsets: np.ndarray, characters: int = CHARACTERS) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of the shingle at every character in order, repeats included; offsets of each text's shingles).
+
+    Characters are code points of UTF-8 as they stand; a shorter text is one shingle, an empty one has none.
+    """
+    size = len(data)
+    begin = np.flatnonzero((data & 0xC0) != 0x80)
+    edges = np.append(begin, size)
+    power, inverse = _powers(max(22, int(size).bit_length()))
+    total = np.zeros(size + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:size], out=total[1:])
+    at = np.searchsorted(begin, offsets)
+    length = np.diff(at)
+    n = np.where(length >= characters, length - characters + 1, np.minimum(length, 1))
+    bounds = np.concatenate([[0], np.cumsum(n)])
+    first = np.repeat(at[:-1] - bounds[:-1], n) + np.arange(bounds[-1])
+    low, high = begin[first], edges[np.minimum(first + characters, np.repeat(at[1:], n))]
+    return mixed((total[high] - total[low]) * inverse[low] + (high - low).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), bounds
