@@ -88,7 +88,7 @@ def character_hashes(data: np.ndarray, offsets: np.ndarray, characters: int = CH
     size = len(data)
     begin = np.flatnonzero((data & 0xC0) != 0x80)
     edges = np.append(begin, size)
-    power, inverse = _powers(max(22, int(size).bit_length()))
+    power, inverse = _powers(max(20, int(size).bit_length()))
     total = np.zeros(size + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:size], out=total[1:])
     at = np.searchsorted(begin, offsets)

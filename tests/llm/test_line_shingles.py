@@ -78,3 +78,21 @@ def test_recall_on_short_lines(spark):
     near = [k for k in range(600) if firsts(lines[2 * k : 2 * k + 2]) == [0, 0]]
     # Nearly all pairs lie at 0.8 or just above: a miss in two thousand or so.
     assert len(near) >= 550 and sum(got[2 * k + 1]["first_doc_id"] == 2 * k for k in near) >= len(near) - 3
+
+
+def test_links_between_members_that_begin_no_key(spark):
+    rnd = random.Random(7)
+    text = "".join(rnd.choice("abcdefghij") for _ in range(400))
+
+    def edited(line, times):
+        for _ in range(times):
+            at = rnd.randrange(1, len(line) - 1)
+            line = line[:at] + rnd.choice("QRSTUVWXYZ") + line[at + 1 :]
+        return line
+
+    # Pairs above 0.8 in a family whose other members share their keys and lie below.
+    lines = [edited(line, 4) for line in (edited(text, 3) for _ in range(80)) for _ in range(2)]
+    want = firsts(lines)
+    got = components_of(spark, lines)
+    assert 40 < sum(a != k for k, a in enumerate(want)) < 120
+    assert [got[k]["first_doc_id"] for k in range(len(lines))] == want
