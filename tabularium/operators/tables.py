@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -13,6 +14,7 @@ from ..plans import descent
 from ..plans.condition import Condition
 from ..runtime import ship
 from ..sources import files
+from ..sources import layout as L
 from ..sources.blocktable import NAME, BlockTableSource
 
 PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
@@ -62,19 +64,28 @@ def scan(df: DataFrame, where: Column | Condition | Callable[[Row], bool] | None
 
 
 def surviving(directory: str, table: str, condition: Condition, charset: str = "cp1252", trust_string_order: bool = False) -> list[int] | None:
-    """Numbers of the blocks a range scan reads, None for all."""
-    _, data_path, index_path, _ = files.companions(directory, table)[0]
+    """Numbers of the blocks of one table that a range scan reads, None for all. A pattern that matches several tables is an error."""
+    found = files.companions(directory, table)
+    if len(found) > 1:
+        raise L.TableError(f"{len(found)} tables match {table}; block numbers are those of one")
+    _, data_path, index_path, _ = found[0]
     return descent.blocks_for(condition, index_path, files.header_of(data_path), charset, trust_string_order)
 
 
 def range_scan(spark: SparkSession, directory: str, table: str, condition: Condition, ordered: bool = False, **options: Any) -> DataFrame:
     """Rows that satisfy a condition tree, reading only the blocks its index descent leaves; AND and OR prune alike.
 
-    ordered=True sorts by the index's key columns; otherwise rows come in no defined order.
+    A pattern descends the index of each table that matches; tables without one are read whole. ordered=True sorts by the
+    index's key columns (the first table's); otherwise rows come in no defined order.
     """
-    blocks = surviving(directory, table, condition, str(options.get("charset", "cp1252")), str(options.get("trustStringOrder", False)).lower() == "true")
-    if blocks is not None:
-        options["blocks"] = descent.ranges(blocks)
+    charset, trust = str(options.get("charset", "cp1252")), str(options.get("trustStringOrder", False)).lower() == "true"
+    left = {}
+    for name, data_path, index_path, _ in files.companions(directory, table):
+        blocks = descent.blocks_for(condition, index_path, files.header_of(data_path), charset, trust)
+        if blocks is not None:
+            left[name] = descent.ranges(blocks)
+    if left:
+        options["tableBlocks"] = json.dumps(left)
     out = read_table(spark, directory, table, **options).filter(condition.column())
     return out.orderBy(*key_columns(directory, table)) if ordered else out
 

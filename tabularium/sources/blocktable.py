@@ -6,6 +6,7 @@ Options (names in any case):
   charset             code page of text, cp1252 unless given
   columns             comma-separated columns to decode; the source can't see what a query selects
   blocks              block ranges to read, as "0-3,7"; without it all blocks
+  tableblocks         the same by table, as {"name": "0-3,7"} in JSON; tables it doesn't name are read by blocks
   rowids              true adds _block and _rec, the physical order (and _table where table has wildcards)
   timeas              interval (default) or time, which needs spark.sql.timeType.enabled
   mode                FAILFAST (default), or PERMISSIVE, which drops an incomplete last block
@@ -16,6 +17,7 @@ Options (names in any case):
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from typing import Any
 
@@ -52,6 +54,7 @@ class Settings:
             raise L.TableError(f"view {self.view} or timeAs {self.time_as} is unknown")
         self.columns = [c.strip() for c in get("columns").split(",") if c.strip()]
         self.blocks = descent.parse_ranges(str(options["blocks"])) if "blocks" in options else None
+        self.table_blocks = {k: descent.parse_ranges(v) for k, v in json.loads(get("tableblocks", "{}")).items()}
         self.row_ids, self.permissive = yes("rowids"), get("mode", "FAILFAST").upper() == "PERMISSIVE"
         self.pushdown, self.trust = yes("pushdown"), yes("truststringorder")
         self.partition_bytes = int(get("partitionbytes", str(4 << 20)))
@@ -121,7 +124,8 @@ class BlockReader(DataSourceReader):
         self.settings = settings
 
     def ranges_of(self, entry: tuple[str, str, str | None, str | None], header: L.Header) -> list[tuple[int, int]]:
-        wanted = self.settings.blocks if self.settings.blocks is not None else [(0, header.file_blocks)]
+        wanted = self.settings.table_blocks.get(entry[0], self.settings.blocks)
+        wanted = wanted if wanted is not None else [(0, header.file_blocks)]
         return [(max(a, 0), min(b, header.file_blocks)) for a, b in wanted if a < header.file_blocks]
 
     def partitions(self) -> list[InputPartition]:
