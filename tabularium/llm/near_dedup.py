@@ -4,7 +4,7 @@ A document's signature has SYMBOLS MinHash values of b = BITS bits; two document
 which they differ. Signatures are split into CHUNKS chunks of four symbols. By the pigeonhole principle two signatures
 within 2 * CHUNKS - 1 agree in some chunk but for at most one symbol, so every allowed error is enumerated: each chunk
 gives four keys, each with one symbol left out. All pairs within DISTANCE share a key; at the threshold similarity of
-0.8 a pair lies beyond it with a probability of some 0.00005, less above. Every pair is then confirmed on the full
+0.8 a pair lies beyond it with a probability of some 0.0000001, less above. Every pair is then confirmed on the full
 shingle sets.
 
 Documents with equal sets form one class first, and only one document of each class is indexed, so copies never meet in
@@ -31,8 +31,8 @@ from .components import components
 from .shingles import WORDS, mixed, shingle_hashes, shingle_sets
 
 SYMBOLS, CHUNKS, BITS = 64, 16, 14
-#: The signature distance up to which all pairs are found; at most 2 * CHUNKS - 1.
-DISTANCE = 26
+#: The signature distance up to which all pairs are found: all that the index guarantees.
+DISTANCE = 2 * CHUNKS - 1
 #: Cells of the broadcast filter of wanted ids: at most so many rows, whatever the input.
 FILTER_CELLS = 1 << 20
 #: Link documents with PERCENT * union <= 100 * intersection.
