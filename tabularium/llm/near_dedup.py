@@ -11,8 +11,10 @@ Documents with equal sets form one class first, and only one document of each cl
 a key. Each member is first compared with the smallest member of its keys and the one that is smallest in most of them,
 and what is linked is united. Only keys that then still hold several components compare members across components, each pair in
 its first common key alone, and only where the sets can be similar enough: shingles that no other such document has
-can't be shared, which bounds the intersection. Nothing is capped: hot copies cost a partial aggregate, hot near copies two
-comparisons each.
+can't be shared, which bounds the intersection. A parity sketch bounds it further: a set's shingles fall into SKETCH
+buckets, and every bucket in which two sets differ in parity holds a shingle that only one of them has, so the number of such
+buckets never exceeds the symmetric difference. A pair that this rules out can't be linked, so no link is lost, and what passes
+is nearly always one. Nothing is capped: hot copies cost a partial aggregate, hot near copies two comparisons each.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ from .shingles import WORDS, mixed, shingle_hashes, shingle_sets
 SYMBOLS, CHUNKS, BITS = 64, 16, 14
 #: The signature distance up to which all pairs are found: all that the index guarantees.
 DISTANCE = 2 * CHUNKS - 1
+#: Buckets of the parity sketch, one bit each.
+SKETCH = 1024
 #: Cells of the broadcast filter of wanted ids: at most so many rows, whatever the input.
 FILTER_CELLS = 1 << 20
 #: Link documents with PERCENT * union <= 100 * intersection.
@@ -50,8 +54,21 @@ def signatures_of(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return (symbols.reshape(-1, CHUNKS, 4) << shifts).sum(2, dtype=np.uint64).view(np.int64)
 
 
+def parities(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Packed parity sketches (rows of SKETCH / 64 64-bit words) of non-empty sets of distinct shingles laid end to end."""
+    rows = len(bounds) - 1
+    out = np.empty((rows, SKETCH // 8), np.uint8)
+    bucket = (sets >> np.uint64(64 - SKETCH.bit_length() + 1)).astype(np.int64)
+    for low in range(0, rows, 2048):
+        high = min(low + 2048, rows)
+        at = np.repeat(np.arange(high - low) * SKETCH, np.diff(bounds[low : high + 1]))
+        odd = np.bincount(at + bucket[bounds[low] : bounds[high]], minlength=(high - low) * SKETCH) & 1
+        out[low:high] = np.packbits(odd.astype(np.uint8).reshape(-1, SKETCH), axis=1)
+    return out.view(np.int64)
+
+
 def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, n_shingles, h1, h2, signature array<long>): h1, h2 identify the set; without words n_shingles is 0 and the rest null."""
+    """(doc_id, n_shingles, h1, h2, signature, sketch array<long>): h1, h2 identify the set; without words n_shingles is 0 and h1, h2 null."""
     ship(docs.sparkSession)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,19 +78,20 @@ def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 sets = [np.unique(value[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                 n = np.array([len(s) for s in sets], np.int64)
                 some = np.flatnonzero(n)
-                h1, h2, packed = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64), np.zeros((len(n), CHUNKS), np.int64)
+                h1, h2 = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
+                packed, sketch = np.zeros((len(n), CHUNKS), np.int64), np.zeros((len(n), SKETCH // 64), np.int64)
                 if len(some):
                     flat = np.concatenate([sets[k] for k in some])
                     edges = np.concatenate([[0], np.cumsum(n[some])])
                     h1[some] = np.add.reduceat(mixed(flat ^ np.uint64(0x5851F42D4C957F2D)), edges[:-1]).view(np.int64)
                     h2[some] = np.bitwise_xor.reduceat(mixed(flat + np.uint64(0x14057B7EF767814F)), edges[:-1]).view(np.int64)
-                    packed[some] = signatures_of(flat, edges)
+                    packed[some], sketch[some] = signatures_of(flat, edges), parities(flat, edges)
                 none = n == 0
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(n) + 1) * CHUNKS, CHUNKS, dtype=np.int32)), pa.array(packed.ravel()))
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n), pa.array(h1, mask=none), pa.array(h2, mask=none), lists], ["doc_id", "n_shingles", "h1", "h2", "signature"])
+                lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel())) for x in (packed, sketch)]
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n), pa.array(h1, mask=none), pa.array(h2, mask=none), *lists], ["doc_id", "n_shingles", "h1", "h2", "signature", "sketch"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", docs["text"].cast("string").alias("text")).mapInArrow(sign, f"doc_id {kind}, n_shingles long, h1 long, h2 long, signature array<long>")
+    return docs.select("doc_id", docs["text"].cast("string").alias("text")).mapInArrow(sign, f"doc_id {kind}, n_shingles long, h1 long, h2 long, signature array<long>, sketch array<long>")
 
 
 def index_keys() -> Column:
@@ -90,6 +108,11 @@ def distance(a: str, b: str) -> Column:
     return reduce(lambda x, y: x + y, words)
 
 
+def at_least_apart(a: str, b: str) -> Column:
+    """How many shingles only one of two sets has, at least, by their parity sketches."""
+    return reduce(lambda x, y: x + y, [F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(SKETCH // 64)])
+
+
 def first_common(a: str, b: str, key: str) -> Column:
     """Whether key number `key` is the first that two signatures share, so that a pair is compared once."""
     low = sum(((1 << BITS) - 1) << (BITS + 1) * k for k in range(4))
@@ -158,15 +181,16 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     docs = docs.select("doc_id", "text")
     signed = written(signatures(docs, words), "signatures")
     # One document stands for each set.
-    found = signed.filter("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
+    found = signed.filter("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch"))
     classes = written(found, "classes")
     keys = classes.select(F.posexplode(index_keys()).alias("number", "key"), "id")
     shared = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high")
     members = written(keys.join(shared.select("key", "low").hint("shuffle_hash"), "key"), "members")
-    signs = classes.select("id", "n", "signature")
-    left = signs.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("signature").alias("s_a"))
-    right = signs.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("signature").alias("s_b"))
-    close = (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent) & (distance("s_a", "s_b") <= DISTANCE)
+    signs = classes.select("id", "n", "signature", "sketch")
+    end = lambda rows, at: rows.withColumnsRenamed({"id": at, "root": f"r_{at}", "n": f"n_{at}", "able": f"m_{at}", "signature": f"s_{at}", "sketch": f"p_{at}"})
+    close = (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
+    close &= at_least_apart("p_a", "p_b") * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)
+    close &= distance("s_a", "s_b") <= DISTANCE
 
     def united(roots: DataFrame, links: DataFrame) -> DataFrame:
         """(id, root) after uniting the components that links (a, b) join."""
@@ -178,7 +202,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     votes = members.groupBy("id", "low").agg(F.count("*").alias("n")).groupBy("id")
     nearest = written(votes.agg(F.min("low").alias("least"), F.max_by("low", F.struct("n", "low")).alias("most")), "nearest")
     stars = nearest.select(F.explode(F.array("least", "most")).alias("a"), F.col("id").alias("b")).filter("a < b").distinct()
-    links = written(confirmed(stars.join(left, "a").join(right, "b").filter(close), docs, words, percent), "links")
+    links = written(confirmed(stars.join(end(signs, "a"), "a").join(end(signs, "b"), "b").filter(close), docs, words, percent), "links")
     roots = united(nearest.select("id", F.col("id").alias("root")), links)
     # Keys that still hold several components: compare across them.
     rooted = members.select("key", "number", "id").join(roots, "id")
@@ -188,12 +212,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     # Shingles in common are at most those that others have, and must be percent of the set at least.
     able = F.col("n") - F.coalesce("alone", F.lit(0))
     bounded = signs.join(open_.select("id").distinct(), "id", "semi").join(alone, "id", "left").withColumn("able", able).filter(F.col("able") * 100 >= F.col("n") * percent)
-    open_ = open_.join(bounded.select("id", "n", "able", "signature"), "id")
-    x = open_.select("key", "number", F.col("id").alias("a"), F.col("root").alias("r_a"), F.col("n").alias("n_a"), F.col("able").alias("m_a"), F.col("signature").alias("s_a"))
-    y = open_.select("key", F.col("id").alias("b"), F.col("root").alias("r_b"), F.col("n").alias("n_b"), F.col("able").alias("m_b"), F.col("signature").alias("s_b"))
+    open_ = open_.join(bounded.select("id", "n", "able", "signature", "sketch"), "id")
     most = F.least("m_a", "m_b")
     across = (F.col("a") < F.col("b")) & (F.col("r_a") != F.col("r_b")) & (most * 100 >= (F.col("n_a") + F.col("n_b") - most) * percent)
-    more = x.join(y, "key").filter(across & close & first_common("s_a", "s_b", "number")).select("a", "b")
+    more = end(open_, "a").join(end(open_.drop("number"), "b"), "key").filter(across & close & first_common("s_a", "s_b", "number")).select("a", "b")
     links = written(confirmed(more, docs, words, percent), "links")
     if links.take(1):
         roots = united(roots, links)
