@@ -2,7 +2,9 @@
 
 A page is a sequence of words and tags. Words score positive and tags negative; the weights are log odds of each kind of
 token inside against outside the main text, counted over labelled pages (html_pages). One linear scan finds
-the contiguous region with the best sum, and its blocks, less elements that never are main text, are the result.
+the contiguous region with the best sum, and its blocks, less elements that never are main text, are the result. Those are elements
+of certain kinds, hidden ones (the attribute hidden, aria-hidden="true", display:none, visibility:hidden), and those of which a whole
+class name, the id or the role says so; a name that also says something else ("related-work") doesn't count.
 
 A null, empty or textless page gives an empty text. Broken markup is read as browsers do: unclosed elements end with their
 parents, stray end tags are ignored, an unclosed comment or script runs to the end of the page.
@@ -23,9 +25,10 @@ from pyspark.sql import DataFrame
 from ..runtime import ship
 from .html_pages import LABELLED
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)/?>|[^<]+|<", re.S)
-_CLASS = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?until)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_ATTRIBUTE = re.compile(r"[\s/]*([^\s/>=][^\s/>=]*)(\s*=\s*)?")
+_VALUE = re.compile(r"[^\s>]*")
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 # HTML element kinds.
 RAW = {"script", "style", "noscript", "template", "iframe", "svg", "math", "object", "canvas", "textarea", "title", "select", "xmp"}
@@ -34,23 +37,68 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img", "ruby", "rt", "rp"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 ARTICLE = {"article", "main"}
-# Words in class, id and role names of what is not main text.
+# Words of class and id names, and roles, of what is not main text.
 ROLES = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "sponsor", "sponsored", "promo", "promotion", "cookie", "cookies", "consent", "gdpr", "notice", "popup", "modal", "overlay",
     "newsletter", "subscribe", "subscription", "signup", "login", "sidebar", "related", "recommended", "recommendations", "share", "sharing", "social", "comment", "comments", "reply", "replies", "disqus", "respond",
     "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "pagination", "pager", "footer", "masthead", "toolbar", "widget", "widgets", "contentinfo", "complementary", "search", "topbar", "skip", "tags", "byline-links", "header",
 }
+# Words that say nothing about what an element holds; a name counts only if all its other words are in ROLES.
+NEUTRAL = {
+    "area", "bar", "block", "body", "bottom", "box", "button", "buttons", "column", "container", "form", "global", "group", "inner", "item", "items", "left", "link", "links", "list", "main", "outer", "page", "panel", "posts", "primary",
+    "reader", "right", "row", "secondary", "section", "side", "site", "slot", "thread", "top", "unit", "user", "wrap", "wrapper",
+}
 #: What an element that ends with its parents or its like closes on opening.
 _CLOSES = {"p": {"p"}, "li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
 
 
-def _is_never(name: str, attributes: str, in_article: bool) -> bool:
-    if name in NEVER or (name == "header" and not in_article) or (attributes and _HIDDEN.search(attributes)):
+def _attributes(page: str, at: int, closing: dict[str, bool]) -> tuple[dict[str, str], int, bool]:
+    """(attributes by lower-case name, place after the tag's end, whether it closes itself) of a start tag whose name ends at `at`.
+
+    A quote that is never closed counts as a character; closing remembers which characters don't come any more, so a page is read once.
+    """
+    out: dict[str, str] = {}
+    while (m := _ATTRIBUTE.match(page, at)) is not None:
+        name, at, value = m[1].lower(), m.end(), ""
+        if m[2]:
+            quote = page[at : at + 1]
+            end = page.find(quote, at + 1) if quote in ("'", '"') and closing.get(quote, True) else -1
+            if end >= 0:
+                value, at = page[at + 1 : end], end + 1
+            else:
+                if quote in ("'", '"'):
+                    closing[quote] = False
+                v = _VALUE.match(page, at)
+                value, at = v[0], v.end()
+        out.setdefault(name, value)
+    end = page.find(">", at)
+    return out, end + 1 if end >= 0 else len(page), page[end - 1 : end] == "/" if end >= 0 else False
+
+
+def _is_hidden(attributes: dict[str, str]) -> bool:
+    if attributes.get("hidden", "until-found").strip().lower() != "until-found" or attributes.get("aria-hidden", "").strip().lower() == "true":
+        return True
+    declared = [d.partition(":") for d in attributes.get("style", "").lower().split(";")]
+    return any((name.strip(), value.replace("!important", "").strip()) in (("display", "none"), ("visibility", "hidden")) for name, _, value in declared)
+
+
+def _names_role(attributes: dict[str, str], exempt: set[str]) -> bool:
+    """Whether its role, or a whole name among its classes or its id, says that an element is no main text."""
+    if attributes.get("role", "").strip().lower() in ROLES | {"dialog", "alertdialog", "menubar", "form"}:
+        return True
+    for name in [*attributes.get("class", "").split(), attributes.get("id", "")]:
+        words = {w.lower() for w in _WORD.findall(name)}
+        if words and words <= ROLES | NEUTRAL and words & (ROLES - exempt):
+            return True
+    return False
+
+
+def _is_never(name: str, attributes: dict[str, str], in_article: bool, by_names: bool) -> bool:
+    if name in NEVER or (name == "header" and not in_article) or (attributes and _is_hidden(attributes)):
         return True
-    if not attributes or name in ("html", "body", "article", "main"):
+    if not attributes or not by_names or name in ("html", "body", "article", "main"):
         return False
-    words = {w for m in _CLASS.finditer(attributes) for w in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", m[1] or m[2] or m[3] or "").lower())}
-    return bool(words & (ROLES - ({"header"} if in_article or name in HEADINGS else set())))
+    return _names_role(attributes, {"header"} if in_article or name in HEADINGS else set())
 
 
 def kind_of(name: str) -> str:
@@ -62,52 +110,71 @@ def kind_of(name: str) -> str:
     return name if name in ("a", "p", "br", "li", "ul", "td", "div", "article", "blockquote", "pre") else "other"
 
 
-def tokens(page: str) -> Iterator[tuple[str, str, bool, bool]]:
+def tokens(page: str, by_names: bool = True) -> Iterator[tuple[str, str, bool, bool]]:
     """(kind, text, never, block) in page order: kind "word" or "link" for a stretch of text, else a tag's kind; never:
-    inside what is not main text; block: whether a block ends here."""
+    inside what is not main text; block: whether a block ends here. Every character is read a bounded number of times.
+    by_names=False leaves out what only its class, id or role tells."""
     stack: list[tuple[str, bool]] = []
-    never = links = 0
-    at, n = 0, len(page)
+    opened: Counter[str] = Counter()
+    closing: dict[str, bool] = {}
+    never, at, n = 0, 0, len(page)
     lower: str | None = None
+
+    def pop() -> str:
+        nonlocal never
+        x, was = stack.pop()
+        opened[x] -= 1
+        never -= was
+        return x
+
     while at < n:
-        m = _TOKEN.match(page, at)
-        at = m.end()
-        name = m[2]
-        if name is None:
-            piece = m[0]
-            if piece[0] != "<" or piece == "<":
-                yield "link" if links else "word", piece, bool(never), False
+        start = page.find("<", at)
+        start = n if start < 0 else start
+        if start > at:
+            yield "link" if opened["a"] else "word", page[at:start], bool(never), False
+            at = start
             continue
-        name = name.lower()
-        if m[1]:  # an end tag closes up to its like, and itself belongs to what it ends
+        after = page[at + 1 : at + 2]
+        if after in ("!", "?"):
+            ends, skip = ("-->", 4) if page.startswith("<!--", at) else (">", 2)
+            end = page.find(ends, at + skip) if closing.get(ends, True) else -1
+            closing[ends] = end >= 0
+            at = n if end < 0 else end + len(ends)
+            continue
+        is_end = after == "/"
+        m = _NAME.match(page, at + 1 + is_end)
+        closed = closing.get(">", True) and page.find(">", at) >= 0 if m else False
+        if m is None or not closed:  # no tag: the character stands for itself
+            closing[">"] = closing.get(">", True) and (m is None or closed)
+            yield "link" if opened["a"] else "word", "<", bool(never), False
+            at += 1
+            continue
+        name = m[0].lower()
+        if is_end:  # an end tag closes up to its like, and itself belongs to what it ends
+            at = page.find(">", m.end()) + 1
             inside = bool(never)
-            if any(x == name for x, _ in stack):
-                while True:
-                    x, was = stack.pop()
-                    never -= was
-                    links -= x == "a"
-                    if x == name:
-                        break
+            if opened[name]:
+                while pop() != name:
+                    pass
             yield kind_of(name), "", inside, name not in INLINE and name != "br"
             continue
+        attributes, at, whole = _attributes(page, m.end(), closing)
         if name in RAW:  # its content is not markup
             lower = page.lower() if lower is None else lower
-            end = lower.find(f"</{name}", at)
+            end = lower.find(f"</{name}", at) if closing.get(f"</{name}", True) else -1
+            closing[f"</{name}"] = end >= 0
             close = page.find(">", end) if end >= 0 else -1
             at = close + 1 if close >= 0 else n
             continue
         closes = _CLOSES.get(name, {"p"} if name not in INLINE and name != "br" else None)
         while closes and stack and stack[-1][0] in closes | (INLINE if any(x in closes for x, _ in stack[-4:]) else set()):
-            x, was = stack.pop()
-            never -= was
-            links -= x == "a"
-            if x in closes:
+            if pop() in closes:
                 break
-        if name not in VOID and not m[0].endswith("/>"):
-            bad = _is_never(name, m[3], any(x in ARTICLE for x, _ in stack))
+        if name not in VOID and not whole:
+            bad = _is_never(name, attributes, bool(opened["article"] or opened["main"]), by_names)
             stack.append((name, bad))
+            opened[name] += 1
             never += bad
-            links += name == "a"
         yield kind_of(name), "", bool(never), name not in INLINE and name != "br"
 
 
@@ -146,8 +213,13 @@ def main_text(page: str | None) -> str:
     """Blocks of the best region, joined by two line ends."""
     if not page:
         return ""
+    # A page all of whose text is under names that say otherwise is read without them.
+    return _best_text(list(tokens(page))) or _best_text(list(tokens(page, by_names=False)))
+
+
+def _best_text(found: list[tuple[str, str, bool, bool]]) -> str:
+    """The blocks of the best region of these tokens."""
     weight = weights()
-    found = list(tokens(page))
     scores = [0.0 if never else weight[kind] * len(html.unescape(text).split()) if kind in ("word", "link") else weight[kind] for kind, text, never, _ in found]
     begin, end = best_region(scores)
     # A region that begins or ends within a block takes the block in whole.
