@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text worked on at once; one longer text forms a block of its own.
-BLOCK_BYTES = 4 << 20
+#: Bytes of text worked on at once, and those of the machines that read many places of a block side by side; one longer text forms a block of its own.
+BLOCK_BYTES, WIDE_BYTES = 1 << 20, 2 << 20
 
 
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -36,3 +37,13 @@ def blocks(batch: pa.RecordBatch, column: str, size: int = BLOCK_BYTES) -> Itera
         end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + size, "right")) - 1)
         yield batch.slice(begin, end - begin), data[offsets[begin] : offsets[end]], offsets[begin : end + 1] - offsets[begin]
         begin = end
+    trim()
+
+
+def trim() -> None:
+    """Give memory that is free back to the system: a worker lives on, and what its largest block took would stay with it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

@@ -17,12 +17,16 @@ token and stable beside the token before it.
 from __future__ import annotations
 
 import json
+import struct
 from functools import lru_cache
 
 import numpy as np
 
 #: Characters of a chunk of the pre-token machine, bytes of a run of the token machine and of a pass over it, compiled transitions kept.
-CHUNK, RUN, STRIDE, MAX_EDGES = 128, 1024, 64, 1_500_000
+CHUNK, RUN, STRIDE, MAX_EDGES = 128, 1024, 64, 600_000
+#: Results of stability tests kept.
+MOST_STABLE = 400_000
+_OPEN = struct.Struct("<iii")
 
 # Character classes of the pre-token machine: letter, number, other, space, other white space; apostrophes that open a
 # contraction of one or two letters count apart, as do white-space characters that are followed by a non-white one.
@@ -174,28 +178,40 @@ class Transducer:
                     self.token.append(-1)
                 node = to
             self.token[node] = k
-        self.stable: dict[tuple[int, int], bool] = {}
+        self.stable: dict[int, bool] = {}
         self.bits = max(10, int(size * 4 // 3).bit_length())
         self.size = size
         self._clear()
 
-    def _clear(self) -> None:
+    def _clear(self, live: np.ndarray | None = None) -> np.ndarray | None:
+        """Forget all transitions and all states but those in live, whose new numbers are returned."""
+        kept = [self.states[k] for k in live.tolist()] if live is not None else []
         self.key = np.full(1 << self.bits, -1, np.int64)
         self.to = np.zeros(1 << self.bits, np.int32)
         self.delta = np.zeros(1 << self.bits, np.int16)
         self.last = np.zeros(1 << self.bits, np.int32)
-        self.state_of: dict[tuple, int] = {((0, -1, 0),): 0}
-        self.states: list[tuple] = [((0, -1, 0),)]
+        # A state is the open prefixes, the longest first, each as (trie node, token before it, tokens more than the last state's).
+        start = _OPEN.pack(0, -1, 0)
+        self.state_of: dict[bytes, int] = {start: 0}
+        self.states: list[bytes] = [start]
         self.edges = 0
+        return np.array([self._number(s) for s in kept], np.int64) if live is not None else None
+
+    def _number(self, state: bytes) -> int:
+        number = self.state_of.setdefault(state, len(self.states))
+        if number == len(self.states):
+            self.states.append(state)
+        return number
 
     def _is_stable(self, a: int, b: int) -> bool:
         """Whether BPE leaves tokens a, b side by side: undo merges from the later one on and look for a merge across."""
         if a < 0:
             return True
-        found = self.stable.get((a, b))
+        pair = a << 32 | b
+        found = self.stable.get(pair)
         if found is not None:
             return found
-        if len(self.stable) > 2_000_000:
+        if len(self.stable) > MOST_STABLE:
             self.stable.clear()
         x, y, bound, ok = a, b, len(self.left), True
         while True:
@@ -210,7 +226,7 @@ class Transducer:
                 bound, x = x, self.right[x]
             else:  # equal or later on the right: a merge across of the same rank comes first, being further left
                 bound, y = y + 1, self.left[y]
-        self.stable[a, b] = ok
+        self.stable[pair] = ok
         return ok
 
     def _compile(self, keys: list[int]) -> None:
@@ -218,7 +234,7 @@ class Transducer:
         table = self.key
         for key in keys:
             state, byte = key >> 8, key & 255
-            opened = [(to, before, count) for node, before, count in self.states[state] if (to := child.get(node << 8 | byte)) is not None]
+            opened = [(to, before, count) for node, before, count in _OPEN.iter_unpack(self.states[state]) if (to := child.get(node << 8 | byte)) is not None]
             for node, before, count in opened:
                 token = tokens[node]
                 if token >= 0 and self._is_stable(before, token):
@@ -226,10 +242,7 @@ class Transducer:
             else:
                 raise ValueError("the vocabulary lacks a byte")
             delta = count + 1
-            state_to = (*[(to, before, count - delta) for to, before, count in opened], (0, token, 0))
-            number = self.state_of.setdefault(state_to, len(self.states))
-            if number == len(self.states):
-                self.states.append(state_to)
+            number = self._number(b"".join([_OPEN.pack(to, before, count - delta) for to, before, count in opened]) + _OPEN.pack(0, token, 0))
             slot = (key * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> shift
             while table[slot] >= 0:
                 slot = (slot + 1) & mask
@@ -254,6 +267,30 @@ class Transducer:
             open_ = open_[got[open_] != keys[open_]]
         return slot
 
+    def _advance(self, state: np.ndarray, byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Read a byte in each state, in place; what each transition is annotated with: the change in tokens, and the last token."""
+        keys = state << 8 | byte
+        slot = self._find(keys)
+        if not len(slot) or slot.min() >= 0:
+            state[:] = self.to[slot]
+            return self.delta[slot], self.last[slot]
+        delta, last, todo = np.empty(len(keys), np.int64), np.empty(len(keys), np.int64), np.arange(len(keys))
+        while len(todo):
+            new = np.unique(keys[slot < 0])
+            if len(new) > self.size - self.edges and self.edges:
+                # No room: all states of this moment, those already ahead too, move to an emptied table.
+                live, back = np.unique(state, return_inverse=True)
+                state[:] = self._clear(live)[back]
+            else:
+                self._compile(new[: self.size - self.edges].tolist())
+            keys = state[todo] << 8 | byte[todo]
+            slot = self._find(keys)
+            known = slot >= 0
+            at, found = todo[known], slot[known]
+            state[at], delta[at], last[at] = self.to[found], self.delta[found], self.last[found]
+            todo, keys, slot = todo[~known], keys[~known], slot[~known]
+        return delta, last
+
     def run(self, data: np.ndarray, begins: np.ndarray, firsts: np.ndarray, want_ids: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
         """Read bytes whose pre-tokens begin where begins is set and whose texts begin at firsts (sorted, non-empty texts).
 
@@ -281,18 +318,11 @@ class Transducer:
             tokens = np.empty(at.shape, np.int32) if want_ids else None
             for k in range(min(STRIDE, int(lengths[0]) - low)):
                 now_live = int(np.searchsorted(-lengths[:live], -(low + k), "left"))
-                keys = (state[:now_live] & kept[k, :now_live]) << 8 | bytes_[k, :now_live]
-                slot = self._find(keys)
-                if len(slot) and slot.min() < 0:
-                    if self.edges > self.size:
-                        self._clear()
-                        return self.run(data, begins, firsts, want_ids)
-                    self._compile(np.unique(keys[slot < 0]).tolist())
-                    slot = self._find(keys)
-                state[:now_live] = self.to[slot]
-                counts[:now_live] += self.delta[slot]
+                state[:now_live] &= kept[k, :now_live]
+                delta, last = self._advance(state[:now_live], bytes_[k, :now_live])
+                counts[:now_live] += delta
                 if want_ids:
-                    tokens[k, :now_live] = self.last[slot]
+                    tokens[k, :now_live] = last
             if want_ids:
                 inside = np.arange(low, low + STRIDE)[:, None] < lengths[:live]
                 ends[at[inside]] = tokens[inside]

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import ship, written
-from .arrow_text import blocks
+from .arrow_text import WIDE_BYTES, blocks
 from .bpe_fst import transducer
 
 WINDOW, END_ID = 2048, 1
@@ -33,7 +33,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(tokenizer)
         for batch in batches:
-            for rows, data, offsets in blocks(batch, "text"):
+            for rows, data, offsets in blocks(batch, "text", WIDE_BYTES):
                 row, start, length, crc, total, parts = [], [], [], [], [], []
                 for k, ids in enumerate(machine.texts(data, offsets, True)[1]):
                     ids = np.append(ids, np.uint32(end_id)).astype("<u4")

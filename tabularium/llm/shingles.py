@@ -6,29 +6,19 @@ distinct shingles of WORDS words; a shorter text has its whole word sequence as
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 
 WORDS = 4
 #: Characters of a character shingle.
 CHARACTERS = 5
-_LOWER = np.arange(256, dtype=np.uint64)
-_LOWER[65:91] += 32
+_VALUE = np.arange(1, 257, dtype=np.uint64)
+_VALUE[65:91] += 32
 _WHITE = np.zeros(256, bool)
 _WHITE[[32, *range(9, 14)]] = True
-_BASE = 0x9E3779B97F4A7C15 | 1
-
-
-@lru_cache(1)
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The base's powers and inverse powers modulo 2**64, for texts of up to 2**bits bytes in all."""
-    out = []
-    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-        a = np.full(1 << bits, base, np.uint64)
-        a[0] = 1
-        out.append(np.multiply.accumulate(a))
-    return out[0], out[1]
+_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+#: Bytes of a word that one pass over the powers takes; longer words are put together from pieces.
+PIECE = 1 << 12
+_POWERS = np.power(_BASE, np.arange(PIECE + 1, dtype=np.uint64))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -38,24 +28,42 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, offsets of each text's words)."""
-    n = len(data)
-    if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    inside = ~_WHITE[data]
+def spans(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(begin, end) of the runs of bytes that are inside; a run ends with its text."""
     starts, ends = inside.copy(), inside.copy()
     starts[1:] &= ~inside[:-1]
     ends[:-1] &= ~inside[1:]
-    cut = offsets[(offsets > 0) & (offsets < n)]
+    cut = offsets[(offsets > 0) & (offsets < len(inside))]
     starts[cut] |= inside[cut]
     ends[cut - 1] |= inside[cut - 1]
-    begin, end = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-    power, inverse = _powers(max(22, int(n).bit_length()))
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((_LOWER[data] + np.uint64(1)) * power[:n], out=total[1:])
-    value = (total[end] - total[begin]) * inverse[begin] + (end - begin).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    return mixed(value), np.searchsorted(begin, offsets)
+    return np.flatnonzero(starts), np.flatnonzero(ends) + 1
+
+
+def span_hashes(data: np.ndarray, inside: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of the lower-cased bytes of each of these runs of inside bytes: a polynomial of fixed powers, whatever their place and length."""
+    if not len(begin):
+        return np.zeros(0, np.uint64)
+    size = np.diff(np.append(begin, len(data)))
+    place = np.arange(begin[0], len(data)) - np.repeat(begin, size)
+    term = _VALUE[data[begin[0] :]] * inside[begin[0] :]
+    pieces = -(-size // PIECE)
+    if pieces.max() == 1:
+        total = np.add.reduceat(term * _POWERS[place], begin - begin[0])
+    else:
+        first = np.cumsum(pieces) - pieces
+        number = np.arange(first[-1] + pieces[-1]) - np.repeat(first, pieces)
+        part = np.add.reduceat(term * _POWERS[place % PIECE], np.repeat(begin - begin[0], pieces) + number * PIECE)
+        total = np.add.reduceat(part * np.power(_POWERS[PIECE], number.astype(np.uint64)), first)
+    return mixed(total + (end - begin).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, offsets of each text's words)."""
+    if not len(data):
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+    inside = ~_WHITE[data]
+    begin, end = spans(inside, offsets)
+    return span_hashes(data, inside, begin, end), np.searchsorted(begin, offsets)
 
 
 def shingle_hashes(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -85,16 +93,15 @@ def character_hashes(data: np.ndarray, offsets: np.ndarray, characters: int = CH
 
     Characters are code points of UTF-8 as they stand; a shorter text is one shingle, an empty one has none.
     """
-    size = len(data)
     begin = np.flatnonzero((data & 0xC0) != 0x80)
-    edges = np.append(begin, size)
-    power, inverse = _powers(max(20, int(size).bit_length()))
-    total = np.zeros(size + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:size], out=total[1:])
+    edges = np.append(begin, len(data))
     at = np.searchsorted(begin, offsets)
     length = np.diff(at)
     n = np.where(length >= characters, length - characters + 1, np.minimum(length, 1))
     bounds = np.concatenate([[0], np.cumsum(n)])
     first = np.repeat(at[:-1] - bounds[:-1], n) + np.arange(bounds[-1])
     low, high = begin[first], edges[np.minimum(first + characters, np.repeat(at[1:], n))]
-    return mixed((total[high] - total[low]) * inverse[low] + (high - low).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), bounds
+    total, wide = (high - low).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93), np.append(data, np.zeros(4 * characters, np.uint8))
+    for k in range(int((high - low).max(initial=0))):
+        total += np.where(low + k < high, (wide[low + k].astype(np.uint64) + np.uint64(1)) * _POWERS[k], np.uint64(0))
+    return mixed(total), bounds

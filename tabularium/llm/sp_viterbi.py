@@ -24,11 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import ship
-from .arrow_text import blocks
+from .arrow_text import WIDE_BYTES, blocks
 
 MARK = "▁"
 #: Words longer than this advance one by one; so many stability results are kept, those of arrays in 2**KNOWN_BITS slots.
 LONG_WORD, MOST_KNOWN, KNOWN_BITS = 40, 1_000_000, 20
+#: Characters of the longest units whose ids are kept.
+KEPT_WORD = 200
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _NONE = -1
 
@@ -352,11 +354,14 @@ class Pieces:
         rest: list[list[int]] = []
         for k in other:
             unit = whole[begin[k] : end[k]]
-            if unit not in self.words:
-                if len(self.words) > 100_000:
-                    self.words.clear()
-                self.words[unit] = self._spaced(unit) if second[k] else self._ids(unit, self._one(unit))
-            rest.append(self.words[unit])
+            got = self.words.get(unit)
+            if got is None:
+                got = self._spaced(unit) if second[k] else self._ids(unit, self._one(unit))
+                if len(unit) <= KEPT_WORD:
+                    if len(self.words) > 100_000:
+                        self.words.clear()
+                    self.words[unit] = got
+            rest.append(got)
         more = np.concatenate([np.asarray(r, np.int64) for r in rest]) if rest else np.zeros(0, np.int64)
         table_all = np.concatenate([table, more])
         length = np.zeros(len(begin), np.int64)
@@ -391,7 +396,7 @@ def encoded(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text"
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, _, _ in blocks(batch, "text"):
+            for rows, _, _ in blocks(batch, "text", WIDE_BYTES):
                 found = pieces(model).encode([t or "" for t in rows.column(1).to_pylist()])
                 at = pa.array(np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.ListArray.from_arrays(at, pa.array(np.concatenate(found).astype(np.int32)))], ["key", "ids"])
@@ -422,7 +427,7 @@ def round_trips(docs: DataFrame, model: str) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = pieces(model)
         for batch in batches:
-            for rows, _, offsets in blocks(batch, "text"):
+            for rows, _, offsets in blocks(batch, "text", WIDE_BYTES):
                 texts = [t or "" for t in rows.column(1).to_pylist()]
                 found = machine.encode(texts)
                 crc = [zlib.crc32(f.astype("<u4").tobytes()) for f in found]

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import ship
-from .arrow_text import blocks
+from .arrow_text import WIDE_BYTES, blocks
 from .bpe_fst import transducer
 
 
@@ -21,7 +21,7 @@ def token_counts(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(tokenizer)
         for batch in batches:
-            for rows, data, offsets in blocks(batch, "text"):
+            for rows, data, offsets in blocks(batch, "text", WIDE_BYTES):
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(offsets)), pa.array(machine.texts(data, offsets)[0])], ["key", "n_bytes", "n_tokens"])
 
     kind = docs.schema[key].dataType.simpleString()

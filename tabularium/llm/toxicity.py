@@ -7,7 +7,7 @@ chosen by a chi-squared test on the training rows of the fold), and six ratios o
 
 The models are fitted on at most max_train labelled documents, those with the smallest hash of their id, taken whole;
 scoring covers every document. A null text, or one without words, has probability 0 in every category. Labels that are null don't
-count; of several labels of a document the largest counts. A category without both values among the labels is constant.
+count; of several labels of a document the largest counts, of several texts of a labelled doc_id the smallest is learnt from. A category without both values among the labels is constant.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import ship
-from .arrow_text import blocks
-from .shingles import _LOWER, _powers, mixed
+from .arrow_text import blocks, trim
+from .shingles import _POWERS, _VALUE, mixed, span_hashes, spans
 
 #: Bits of the feature hash, lengths (bytes) of word beginnings, numbers of occurrences told apart, folds, features of a category and the least chi-squared value.
 BITS, BEGINNINGS, LEVELS, FOLDS, MOST, LEAST = 20, (4, 5, 6), (1, 2, 3, 5), 4, 2048, 20.0
@@ -47,27 +47,20 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), ratios
     inside = _WORD[data]
-    starts, ends = inside.copy(), inside.copy()
-    starts[1:] &= ~inside[:-1]
-    ends[:-1] &= ~inside[1:]
-    cut = offsets[(offsets > 0) & (offsets < n)]
-    starts[cut] |= inside[cut]
-    ends[cut - 1] |= inside[cut - 1]
-    begin, end = np.flatnonzero(starts), np.flatnonzero(ends) + 1
+    begin, end = spans(inside, offsets)
     text = np.searchsorted(offsets, begin, "right") - 1
-    power, inverse = _powers(max(22, int(n).bit_length()))
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((_LOWER[data] + np.uint64(1)) * power[:n], out=total[1:])
-
-    def hashed(b: np.ndarray, e: np.ndarray, tag: int) -> np.ndarray:
-        return (mixed((total[e] - total[b]) * inverse[b] + np.uint64(tag * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) >> np.uint64(64 - BITS)).astype(np.int64)
-
-    owners, values = [text], [hashed(begin, end, 1)]
-    for k in BEGINNINGS:
-        longer = end - begin > k
-        b = begin[longer]
-        owners.append(text[longer])
-        values.append(hashed(b, b + k, k))
+    hashed = lambda x: (x >> np.uint64(64 - BITS)).astype(np.int64)
+    owners, values = [text], [hashed(span_hashes(data, inside, begin, end))]
+    start, tops = np.zeros(len(begin), np.uint64), max(BEGINNINGS)
+    for k in range(tops):
+        if k in BEGINNINGS:
+            longer = end - begin > k
+            owners.append(text[longer])
+            values.append(hashed(mixed(start[longer] + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1))))
+        start += _VALUE[data[np.minimum(begin + k, n - 1)]] * _POWERS[k]
+    longer = end - begin > tops
+    owners.append(text[longer])
+    values.append(hashed(mixed(start[longer] + np.uint64(tops * 0x9E3779B97F4A7C15 & (1 << 64) - 1))))
     size = np.maximum(np.diff(offsets), 1)
     of = lambda mask: np.diff(np.concatenate([[0], np.cumsum(mask)])[offsets])
     words = np.bincount(text, minlength=texts)
@@ -201,8 +194,8 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], max_train:
     sample = labels.groupBy("doc_id").agg(*[F.max(c).cast("double").alias(f"c{k}") for k, c in enumerate(categories)])
     sample = sample.filter("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     texts = docs.select("doc_id", docs["text"].cast("string").alias("text"))
-    # The sample has at most max_train rows.
-    joined = texts.join(F.broadcast(sample), "doc_id").select("text", *[f"c{k}" for k in range(len(categories))])
+    # The sample has at most max_train rows, and so has what comes back: of the texts of a repeated doc_id the smallest counts.
+    joined = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), *[F.first(f"c{k}").alias(f"c{k}") for k in range(len(categories))]).drop("doc_id")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,7 +214,10 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], max_train:
     rows = [x.values.to_numpy(zero_copy_only=False).astype(np.int64) for x in found.column(0)]
     ratios = np.array(found.column(1).to_pylist(), float).reshape(-1, RATIOS)
     values = np.column_stack([np.asarray(found.column(2 + k).to_numpy(zero_copy_only=False), float) for k in range(len(categories))])
-    return fit_chain(rows, ratios, values)
+    chain = fit_chain(rows, ratios, values)
+    del found, rows, ratios, values
+    trim()
+    return chain
 
 
 def score(docs: DataFrame, chain: Chain, categories: list[str]) -> DataFrame:
