@@ -31,14 +31,13 @@ from ..runtime import ship, written
 from .arrow_text import blocks, raw
 from .components import components
 from .shingles import WORDS, mixed, shingle_hashes, shingle_sets
+from .sieve import sifted
 
 SYMBOLS, CHUNKS, BITS = 64, 16, 14
 #: The signature distance up to which all pairs are found: all that the index guarantees.
 DISTANCE = 2 * CHUNKS - 1
 #: Buckets of the parity sketch, one bit each.
 SKETCH = 1024
-#: Cells of the broadcast filter of wanted ids: at most so many rows, whatever the input.
-FILTER_CELLS = 1 << 20
 #: Link documents with PERCENT * union <= 100 * intersection.
 PERCENT = 80
 _FACTORS = mixed(np.arange(1, SYMBOLS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -94,10 +93,14 @@ def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return docs.select("doc_id", docs["text"].cast("string").alias("text")).mapInArrow(sign, f"doc_id {kind}, n_shingles long, h1 long, h2 long, signature array<long>, sketch array<long>")
 
 
-def index_keys() -> Column:
-    """The keys of a signature: each chunk without each of its symbols in turn."""
-    masks = [sum(((1 << BITS) - 1) << (BITS + 1) * j for j in range(4) if j != k) for k in range(4)]
-    return F.array(*[F.xxhash64(F.lit(4 * c + k), F.col("signature")[c].bitwiseAND(F.lit(m))) for c in range(CHUNKS) for k, m in enumerate(masks)])
+def index_keys(signs: DataFrame) -> DataFrame:
+    """(key, number, id) of signs (id, signature): each chunk without each of its symbols in turn.
+
+    The keys are numbered and each is worked out from its number. All of them in one expression make a method too long to be compiled.
+    """
+    masks = F.array(*[F.lit(sum(((1 << BITS) - 1) << (BITS + 1) * j for j in range(4) if j != k)) for k in range(4)])
+    each = signs.select("id", "signature", F.explode(F.sequence(F.lit(0), F.lit(4 * CHUNKS - 1))).alias("number"))
+    return each.select(F.xxhash64("number", F.get("signature", (F.col("number") / 4).cast("int")).bitwiseAND(F.get(masks, F.col("number") % 4))).alias("key"), "number", "id")
 
 
 def distance(a: str, b: str) -> Column:
@@ -126,10 +129,8 @@ def first_common(a: str, b: str, key: str) -> Column:
 
 
 def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, text) of all documents in ids (id), and of a few others: a filter by hash cells that goes before any shuffle."""
-    cell = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_CELLS))
-    cells = ids.select(cell("id").alias("__cell")).distinct()
-    return docs.select("doc_id", docs["text"].cast("string").alias("text")).join(F.broadcast(cells), cell("doc_id") == F.col("__cell"), "semi")
+    """(doc_id, text) of all documents in ids (id), and of a few others: a filter of bounded size that goes before any shuffle."""
+    return sifted(docs.select("doc_id", docs["text"].cast("string").alias("text")), F.col("doc_id"), ids, F.col("id"))
 
 
 def shared_shingles(ids: DataFrame, docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -183,7 +184,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     # One document stands for each set.
     found = signed.filter("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch"))
     classes = written(found, "classes")
-    keys = classes.select(F.posexplode(index_keys()).alias("number", "key"), "id")
+    keys = index_keys(classes.select("id", "signature"))
     shared = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high")
     members = written(keys.join(shared.select("key", "low").hint("shuffle_hash"), "key"), "members")
     signs = classes.select("id", "n", "signature", "sketch")
