@@ -37,7 +37,7 @@ SYMBOLS, CHUNKS, BITS = 64, 16, 14
 #: The signature distance up to which all pairs are found: all that the index guarantees.
 DISTANCE = 2 * CHUNKS - 1
 #: Buckets of the parity sketch, one bit each.
-SKETCH = 1024
+SKETCH = 512
 #: Link documents with PERCENT * union <= 100 * intersection.
 PERCENT = 80
 _FACTORS = mixed(np.arange(1, SYMBOLS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
