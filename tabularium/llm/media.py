@@ -73,6 +73,8 @@ def decode_bmp(data: bytes) -> np.ndarray:
         index = np.unpackbits(rows, axis=1)[:, :w]
     n = u32(46) or 1 << bits
     palette = np.frombuffer(data, np.uint8, n * 4, 14 + head).reshape(n, 4)[:, 2::-1]
+    if index.size and index.max() >= n:
+        raise ValueError("a BMP sample lies beyond its palette")
     image = palette[index]
     return image[:, :, 0] if (palette == palette[:, :1]).all() else image
 
@@ -134,11 +136,11 @@ def npy(array: np.ndarray) -> bytes:
 
 
 def tiles(image: np.ndarray, side: int = TILE, out: int = TILE_OUT) -> Iterator[tuple[int, int, bytes, str]]:
-    """(row, column, NPY bytes, difference hash) of each tile of the image, resized to at most out x out 8-bit samples."""
+    """(row, column, NPY bytes, difference hash) of each tile of the image, resized to at most out x out samples of the image's own kind, 8 or 16 bits."""
     for y in range(0, image.shape[0], side):
         for x in range(0, image.shape[1], side):
             part = image[y : y + side, x : x + side]
-            small = np.round(area_resize(part, min(out, part.shape[0]), min(out, part.shape[1]))).astype(np.uint8)
+            small = np.round(area_resize(part, min(out, part.shape[0]), min(out, part.shape[1]))).astype(image.dtype)
             yield y // side, x // side, npy(small), difference_hash(part)
 
 
