@@ -120,6 +120,9 @@ def tokens(page: str, by_names: bool = True) -> Iterator[tuple[str, str, bool, b
     never, at, n = 0, 0, len(page)
     lower: str | None = None
 
+    def text_kind() -> str:  # within an article a link's words are words
+        return "link" if opened["a"] and not (opened["article"] or opened["main"]) else "word"
+
     def pop() -> str:
         nonlocal never
         x, was = stack.pop()
@@ -131,7 +134,7 @@ def tokens(page: str, by_names: bool = True) -> Iterator[tuple[str, str, bool, b
         start = page.find("<", at)
         start = n if start < 0 else start
         if start > at:
-            yield "link" if opened["a"] else "word", page[at:start], bool(never), False
+            yield text_kind(), page[at:start], bool(never), False
             at = start
             continue
         after = page[at + 1 : at + 2]
@@ -146,7 +149,7 @@ def tokens(page: str, by_names: bool = True) -> Iterator[tuple[str, str, bool, b
         closed = closing.get(">", True) and page.find(">", at) >= 0 if m else False
         if m is None or not closed:  # no tag: the character stands for itself
             closing[">"] = closing.get(">", True) and (m is None or closed)
-            yield "link" if opened["a"] else "word", "<", bool(never), False
+            yield text_kind(), "<", bool(never), False
             at += 1
             continue
         name = m[0].lower()

@@ -1,6 +1,7 @@
 """HTML extraction, chat perspectives and top-k search against what they should give."""
 
 import re
+import time
 from html import unescape
 
 import duckdb
@@ -30,6 +31,40 @@ def test_blocks(body, want):
     assert html_extract.main_text(PAGE.format(body)) == "Head & tail\n\n" + want
 
 
+KEPT = [
+    '<div class="overflow-hidden"><p>{}</p></div>', '<div style="overflow:hidden"><p>{}</p></div>', '<p aria-hidden="false">{}</p>', '<p><a href="/hidden-valley">{}</a></p>', '<p title="the hidden door">{}</p>',
+    '<section id="related-work"><p>{}</p></section>', '<div class="topic-social"><p>{}</p></div>', '<p data-id="ad">{}</p>',
+]
+GONE = [
+    '<div class="comment-list"><p>{}</p></div>', "<div hidden><p>{}</p></div>", '<p aria-hidden="true">{}</p>', '<div id="user-comments"><p>{}</p></div>', '<div class="x adBanner"><p>{}</p></div>',
+    '<p style="color:red; display : none">{}</p>', '<div role="navigation"><p>{}</p></div>',
+]
+
+
+@pytest.mark.parametrize("part", [*KEPT, *GONE])
+def test_names_and_attributes_count_as_wholes(part):
+    words = "these are the words in question and there are enough of them"
+    body = "<p>Some first words of it, before anything else.</p>" + part.format(words) + "<p>Some more words, to end with.</p>"
+    assert (words in html_extract.main_text(PAGE.format(body))) == (part in KEPT)
+    if part in KEPT:  # without an article element too
+        more = "<p>" + "plain words of the story that goes on " * 10 + "</p>"
+        assert words in html_extract.main_text(PAGE.replace("article>", "div>").format(more + part.format(words) + more))
+
+
+def test_text_under_a_name_alone():
+    assert html_extract.main_text("<body><div class='widget'><p>all the text there is</p></div></body>") == "all the text there is"
+
+
+@pytest.mark.parametrize("part", ["<b>" * 10 + "</x>" * 10, "<a ", '<a b="', "<a b='>", "<", "<!--", "<p>", "</x ", "<select></select"])
+def test_broken_pages_take_linear_time(part):
+    def seconds(size):
+        start = time.process_time()
+        html_extract.main_text(part * (size // len(part)))
+        return time.process_time() - start
+
+    assert seconds(400_000) < 8 * seconds(100_000) + 0.3
+
+
 def test_page_without_markup_of_its_parts():
     menu = "".join(f"<a href='/{k}'>Menu {k}</a> " for k in range(12))
     body = "<div><h1>A title of some words</h1><p>" + "plain words of the story " * 20 + "</p><p>The end of it.</p></div>"

@@ -80,6 +80,13 @@ def test_rebuilt_documents(spark):
     assert line_dedup.dedup_lines(spark.createDataFrame([], DOCS)).collect() == []
 
 
+def test_rows_that_repeat_a_doc_id_are_documents_of_their_own(spark):
+    rows = [(1, "alpha beta gamma delta\none only"), (1, "a wholly different text here\nmore of it"), (1, "alpha beta gamma delta\none only"), (2, "alpha beta gamma delta\nsome news"), (None, "one only")]
+    got = sorted(map(tuple, line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    # Without an id a row is smallest and stays whole, so its line goes elsewhere; equal rows share their fate.
+    assert got == sorted([(1, "alpha beta gamma delta"), (1, "alpha beta gamma delta"), (1, "a wholly different text here\nmore of it"), (2, "some news"), (None, "one only")], key=str)
+
+
 def labelled_texts(n, seed):
     rnd = random.Random(seed)
     word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randrange(2, 8)))

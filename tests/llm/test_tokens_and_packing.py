@@ -48,6 +48,15 @@ def test_a_small_table_of_transitions_gives_the_same(library):
     assert small.texts(*raw(pa.array(texts, pa.string())))[0].tolist() == want
 
 
+def test_a_block_with_more_transitions_than_the_table(library):
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randrange(2, 12)))
+    texts = [" ".join(word() for _ in range(3500)), "".join(rnd.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/") for _ in range(60_000))]
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert [i.tolist() for i in Transducer(PATH, size=2000).texts(*raw(pa.array(texts)), True)[1]] == want
+    assert [i.tolist() for i in Transducer(PATH, size=40).texts(*raw(pa.array([t[:2000] for t in texts])), True)[1]] == [e.ids for e in library.encode_batch([t[:2000] for t in texts], add_special_tokens=False)]
+
+
 def test_counts_of_odd_rows(spark, library):
     rows = [(1, None, 5), (2, "", 5), (3, "one two", 5), (3, "one two", 5), (None, "x", 5)]
     got = tokens.token_counts(spark.createDataFrame(rows, "doc_id long, text string, n_tokens int"), PATH).collect()
