@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text worked on at once, and those of the machines that read many places of a block side by side; one longer text forms a block of its own.
-BLOCK_BYTES, WIDE_BYTES = 1 << 20, 2 << 20
+BLOCK_BYTES, WIDE_BYTES = 1 << 20, 4 << 20
 
 
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -23,7 +23,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Characters of a chunk of the pre-token machine, bytes of a run of the token machine and of a pass over it, compiled transitions kept.
-CHUNK, RUN, STRIDE, MAX_EDGES = 128, 1024, 64, 600_000
+CHUNK, RUN, STRIDE, MAX_EDGES = 128, 1024, 64, 1_200_000
 #: Results of stability tests kept.
 MOST_STABLE = 400_000
 _OPEN = struct.Struct("<iii")
