@@ -79,11 +79,9 @@ def range_scan(spark: SparkSession, directory: str, table: str, condition: Condi
     index's key columns (the first table's); otherwise rows come in no defined order.
     """
     charset, trust = str(options.get("charset", "cp1252")), str(options.get("trustStringOrder", False)).lower() == "true"
-    left = {}
-    for name, data_path, index_path, _ in files.companions(directory, table):
-        blocks = descent.blocks_for(condition, index_path, files.header_of(data_path), charset, trust)
-        if blocks is not None:
-            left[name] = descent.ranges(blocks)
+    tables = files.companions(directory, table)
+    found = files.side_by_side(lambda t: descent.blocks_for(condition, t[2], files.header_of(t[1]), charset, trust), tables)
+    left = {t[0]: descent.ranges(blocks) for t, blocks in zip(tables, found, strict=True) if blocks is not None}
     if left:
         options["tableBlocks"] = json.dumps(left)
     out = read_table(spark, directory, table, **options).filter(condition.column())
@@ -100,23 +98,46 @@ def key_columns(directory: str, table: str) -> list[str]:
 
 
 def in_physical_order(df: DataFrame) -> DataFrame:
-    """Rows as they lie in the file; df needs rowIds=True."""
-    return df.orderBy("_block", "_rec")
+    """Rows as they lie in the file, table by table where there are many; df needs rowIds=True."""
+    return df.orderBy(*["_table"] * ("_table" in df.columns), "_block", "_rec")
 
 
 def first_rows(df: DataFrame, n: int) -> DataFrame:
-    """The first n rows in physical order; df needs rowIds=True."""
+    """The first n rows of any query in physical order; df needs rowIds=True. leading_rows reads less where the query is a table."""
     return in_physical_order(df).limit(n)
 
 
+def leading_rows(spark: SparkSession, directory: str, table: str, n: int, **options: Any) -> DataFrame:
+    """The first n rows in physical order, of the tables by name where a pattern matches several, with the columns of rowIds=True.
+
+    Only the blocks that hold them are read: the counts in the block heads tell how many, from the first block on.
+    """
+    wanted, blocks = n, {}
+    for name, data_path, _, _ in files.companions(directory, table):
+        some, rows = files.leading_blocks(data_path, files.header_of(data_path), wanted)
+        blocks[name] = f"0-{some - 1}" if some else ""
+        wanted = max(0, wanted - rows)
+    return first_rows(read_table(spark, directory, table, **options | {"rowIds": True, "tableBlocks": json.dumps(blocks)}), n)
+
+
 class Cursor:
-    """A forward-only cursor over the rows of any query, fetched a partition at a time."""
+    """A forward-only cursor over the rows of any query, fetched a partition at a time; a context manager that closes it."""
 
     def __init__(self, df: DataFrame) -> None:
         self.df, self.schema = df, df.schema
         self._rows: Iterator[Row] = df.toLocalIterator(prefetchPartitions=False)
         self.current: Row | None = None
 
+    def close(self) -> None:
+        """Let go of the rows that are left; partitions not yet fetched are never read. read() is False from then on."""
+        self._rows, self.current = iter(()), None
+
+    def __enter__(self) -> Cursor:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
+
     def read(self) -> bool:
         """Advance; False after the last row."""
         self.current = next(self._rows, None)

@@ -17,6 +17,7 @@ ORACLES: dict[str, str] = {}
 
 ORDERS_SQL = """SELECT CAST(o_orderkey AS INTEGER) AS o_orderkey, CAST(o_custkey AS INTEGER) AS o_custkey, o_orderstatus, o_totalprice,
 CAST(o_orderdate AS DATE) AS o_orderdate, o_orderpriority FROM orders"""
+SPLITS = ("split_1", "split_2", "split_3")
 CONVERSATIONS_SQL = "SELECT CAST(conv_id AS INTEGER) AS conv_id, CAST(turn AS SMALLINT) AS turn, role, substr(text, 1, 25) AS text FROM conversations"
 
 
@@ -51,7 +52,7 @@ def scan_heap_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_add("scan_first_10", ORDERS_SQL + " ORDER BY o_orderkey LIMIT 10")
 def scan_first_10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.first_rows(_table(spark, sf_dir, "orders", rowIds=True), 10).drop("_block", "_rec")
+    return T.leading_rows(spark, fixture(spark, sf_dir, "orders"), "orders", 10, charset="utf-8").drop("_block", "_rec")
 
 
 @_add("scan_predicate_lambda", ORDERS_SQL + " WHERE length(o_orderpriority) = 5")
@@ -117,6 +118,21 @@ def idx_composite_second(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _range(spark, sf_dir, "conversations", compare("turn", "=", 2))
 
 
+@_add("idx_many_tables", ORDERS_SQL + " WHERE o_orderkey BETWEEN 50 AND 400 OR o_orderkey >= 1300")
+def idx_many_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One range scan over tables of unlike size, each pruned by its own index."""
+    folder = [fixture(spark, sf_dir, name) for name in SPLITS][0]
+    k = "o_orderkey"
+    return T.range_scan(spark, folder, "split_*", Or(And(compare(k, ">=", 50), compare(k, "<=", 400)), compare(k, ">=", 1300)), charset="utf-8")
+
+
+@_add("scan_first_many", ORDERS_SQL + " ORDER BY CASE WHEN orders.o_orderkey < 100 THEN 0 WHEN orders.o_orderkey % 2 = 1 THEN 1 ELSE 2 END, orders.o_orderkey LIMIT 120")
+def scan_first_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first rows of several tables, in the order of their names."""
+    folder = [fixture(spark, sf_dir, name) for name in SPLITS][0]
+    return T.leading_rows(spark, folder, "split_*", 120, charset="utf-8").drop("_block", "_rec", "_table")
+
+
 @_add("idx_empty_and", ORDERS_SQL)
 def idx_empty_and(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _range(spark, sf_dir, "orders", And())
@@ -208,6 +224,38 @@ def access_casts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(F.col("c_nationkey").cast("tinyint").alias("as_byte"), F.col("c_custkey").cast("bigint").alias("as_long"), F.col("c_acctbal").cast("float").alias("as_float"), F.col("c_acctbal").cast("decimal(12,2)").alias("as_decimal"))
 
 
+@_add("cursor_rows", """SELECT CAST(c_custkey AS INTEGER) AS by_ordinal, c_name AS by_name, c_acctbal AS by_values, c_mktsegment IS NULL AS is_null,
+6 AS field_count, 'c_nationkey' AS third_name, 'Short' AS third_type, 'smallint' AS third_kind FROM customer""")
+def cursor_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cursor read to its end, row by row on the driver as cursors are."""
+    cursor, out = T.Cursor(_table(spark, sf_dir, "customer")), []
+    while cursor.read():
+        out.append((cursor[0], cursor["C_NAME"], cursor.values()[3], cursor.is_null(5), cursor.field_count, cursor.name(2), cursor.source_type(2), cursor.field_type(2).simpleString()))
+    return spark.createDataFrame(out, "by_ordinal int, by_name string, by_values double, is_null boolean, field_count int, third_name string, third_type string, third_kind string")
+
+
+@_add("cursor_closed", "SELECT CAST(o_orderkey AS INTEGER) AS o_orderkey, false AS read_after FROM orders ORDER BY orders.o_orderkey LIMIT 3")
+def cursor_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cursor let go of after three rows: it reads no more."""
+    with T.Cursor(_range(spark, sf_dir, "orders", And()).select("o_orderkey").orderBy("o_orderkey")) as cursor:
+        keys = [cursor[0] for _ in range(3) if cursor.read()]
+    after = cursor.read()
+    return spark.createDataFrame([(k, after) for k in keys], "o_orderkey int, read_after boolean")
+
+
+@_add("unknown_operators", "SELECT * FROM (VALUES ('=', true), ('<>', true), ('>', true), ('>=', true), ('<', true), ('<=', true), ('~', false), ('LIKE', false), ('', false)) AS t(sign, accepted)")
+def unknown_operators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which comparison signs a condition takes; any other is an error before anything is read."""
+
+    def accepted(sign: str) -> bool:
+        try:
+            return isinstance(compare("o_orderkey", sign, 1), Condition)
+        except ValueError:
+            return False
+
+    return spark.createDataFrame([(s, accepted(s)) for s in ("=", "<>", ">", ">=", "<", "<=", "~", "LIKE", "")], "sign string, accepted boolean")
+
+
 @_add("open_from_bytes", ORDERS_SQL)
 def open_from_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole files as bytes, decoded without the data source."""

@@ -34,10 +34,17 @@ META = "table_name string, record_size int, file_type int, record_count int, fie
 
 
 class Blocks(InputPartition):
-    """A run of blocks of one file."""
+    """A run of blocks of one file, with all that reading them takes, so that no task lists the folder again."""
 
-    def __init__(self, name: str, path: str, blobs: str | None, first: int, last: int) -> None:
-        self.name, self.path, self.blobs, self.first, self.last = name, path, blobs, first, last
+    def __init__(self, name: str, path: str, header: L.Header, fields: list[L.Field], blobs: str | None, first: int, last: int) -> None:
+        self.name, self.path, self.header, self.fields, self.blobs, self.first, self.last = name, path, header, fields, blobs, first, last
+
+
+class Described(InputPartition):
+    """A table whose header a task reads for the view meta; None stands for no rows."""
+
+    def __init__(self, entry: tuple[str, str, str | None, str | None] | None) -> None:
+        self.entry = entry
 
 
 class Settings:
@@ -123,6 +130,10 @@ class BlockReader(DataSourceReader):
     def __init__(self, settings: Settings) -> None:
         self.settings = settings
 
+    def planned(self, entry: tuple[str, str, str | None, str | None]) -> tuple[L.Header, list[L.Field], str, list[tuple[int, int]]]:
+        header, fields, path = self.settings.shape(entry)
+        return header, fields, path, self.ranges_of(entry, header)
+
     def ranges_of(self, entry: tuple[str, str, str | None, str | None], header: L.Header) -> list[tuple[int, int]]:
         wanted = self.settings.table_blocks.get(entry[0], self.settings.blocks)
         wanted = wanted if wanted is not None else [(0, header.file_blocks)]
@@ -130,33 +141,32 @@ class BlockReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         s, out = self.settings, []
+        tables = s.tables()
         if s.view == "meta":
-            return [Blocks(e[0], e[1], None, 0, 0) for e in s.tables()]
+            return [Described(e) for e in tables]
+        planned = files.side_by_side(self.planned, tables)
         first_fields = None
-        for entry in s.tables():
-            header, fields, path = s.shape(entry)
+        for entry, (header, fields, path, ranges) in zip(tables, planned, strict=True):
             kinds = [(f.name, codec.spark_type(f.code)) for f in fields]
             first_fields = first_fields or kinds
             if kinds != first_fields:
                 raise L.TableError(f"table {entry[0]} has another schema than the first")
             step = max(1, s.partition_bytes // max(1, header.block_size))
-            for a, b in self.ranges_of(entry, header):
-                out += [Blocks(entry[0], path, entry[3], low, min(b, low + step)) for low in range(a, b, step)]
-        return out or [Blocks("", "", None, 0, 0)]
+            for a, b in ranges:
+                out += [Blocks(entry[0], path, header, fields, entry[3], low, min(b, low + step)) for low in range(a, b, step)]
+        return out or [Described(None)]
 
-    def read(self, partition: Blocks) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Blocks | Described) -> Iterator[pa.RecordBatch]:
         s = self.settings
-        if s.view == "meta":
-            yield from self.meta(partition.name)
-            return
-        if not partition.path:
+        if isinstance(partition, Described):
+            if partition.entry:
+                yield self.meta(partition.entry)
             return
-        entry = next(e for e in s.tables() if e[0] == partition.name)
-        header, fields, path = s.shape(entry)
+        fields = partition.fields
         need_blobs = partition.blobs and any(f.code == L.BLOB for f in fields)
         blobs = files.Blobs(partition.blobs) if need_blobs else None
         try:
-            for rows, block, rec in files.records(path, header, partition.first, partition.last, s.permissive):
+            for rows, block, rec in files.records(partition.path, partition.header, partition.first, partition.last, s.permissive):
                 arrays = [codec.decode(f, rows, s.charset, s.time_as, blobs) for f in fields]
                 ids = {"_block": pa.array(block), "_rec": pa.array(rec), "_table": pa.array([partition.name] * len(rows), pa.string())}
                 yield pa.RecordBatch.from_arrays(arrays + [ids[n] for n, _, _ in s.extra()], [f.name for f in fields] + [n for n, _, _ in s.extra()])
@@ -164,12 +174,11 @@ class BlockReader(DataSourceReader):
             if blobs:
                 blobs.close()
 
-    def meta(self, name: str) -> Iterator[pa.RecordBatch]:
-        entry = next(e for e in self.settings.tables() if e[0] == name)
+    def meta(self, entry: tuple[str, str, str | None, str | None]) -> pa.RecordBatch:
         h = files.header_of(entry[1])
         row = [h.table_name, h.record_size, h.file_type, h.record_count, len(h.fields), [f.name for f in h.fields], [L.TYPE_NAMES[f.code] for f in h.fields], entry[2] is not None, entry[3] is not None, h.code_page]
         kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.string()), pa.bool_(), pa.bool_(), pa.int32()]
-        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], [x.split(" ")[0] for x in META.split(", ")])
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], [x.split(" ")[0] for x in META.split(", ")])
 
 
 class PruningReader(BlockReader):

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import fnmatch
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from functools import lru_cache
+from typing import Any
 
 import numpy as np
 import pyarrow.fs as pafs
@@ -75,6 +77,30 @@ def records(path: str, header: L.Header, first: int, last: int, permissive: bool
                 return
 
 
+def leading_blocks(path: str, header: L.Header, n: int) -> tuple[int, int]:
+    """(how many blocks from the start hold the first n records, how many of the n they hold); fewer records are all blocks."""
+    found = 0
+    if n <= 0:
+        return 0, 0
+    for _, block, _ in records(path, header, 0, header.file_blocks, permissive=True, at_once=256 << 10):
+        if found + len(block) >= n:
+            return int(block[n - found - 1]) + 1, n
+        found += len(block)
+    return header.file_blocks, found
+
+
+def side_by_side(work: Callable[[Any], Any], items: list[Any]) -> list[Any]:
+    """work of each item in order, many at once: for small reads of many files, where waiting is what takes long."""
+    if len(items) < 2:
+        return [work(x) for x in items]
+    with ThreadPoolExecutor(min(32, len(items))) as pool:
+        return list(pool.map(work, items))
+
+
+#: Blobs of at most SMALL bytes that lie no more than GAP apart are read together, READ bytes at most at a time.
+SMALL, GAP, READ = 256 << 10, 16 << 10, 4 << 20
+
+
 class Blobs:
     """The blob file of a table: dereferences ten-byte references. What does not check out is NULL."""
 
@@ -82,16 +108,32 @@ class Blobs:
         fs, plain = opened(path)
         self.file = fs.open_input_file(plain)
 
+    def _read(self, spans: list[tuple[int, int]]) -> Iterator[bytes]:
+        """The bytes of each (place, length), which come in order of their places; neighbours share a read."""
+        k = 0
+        while k < len(spans):
+            first, stop = spans[k][0], k
+            end = first
+            while stop < len(spans) and spans[stop][0] <= end + GAP and sum(spans[stop]) - first <= READ:
+                end = max(end, sum(spans[stop]))
+                stop += 1
+            data = self.file.read_at(end - first, first)
+            for place, length in spans[k:stop]:
+                yield data[place - first : place - first + length]
+            k = stop
+
     def __call__(self, references: np.ndarray) -> list[bytes | None]:
         fields = np.ascontiguousarray(references[:, :8]).view("<u4")
         out: list[bytes | None] = [None] * len(references)
-        for k in np.argsort(fields[:, 0], kind="stable"):  # in file order
-            place, size = int(fields[k, 0]) & 0xFFFFFF00, int(np.int32(np.uint32(fields[k, 1])))
-            if size <= 0:
-                continue
-            head = self.file.read_at(9, place)
-            if len(head) == 9 and struct.unpack_from("<i", head, 3)[0] == size:
-                data = self.file.read_at(size, place + 9)
+        places, sizes = fields[:, 0].astype(np.int64) & 0xFFFFFF00, fields[:, 1].view("<i4").astype(np.int64)
+        order = np.argsort(places, kind="stable")  # in file order
+        order = order[sizes[order] > 0]
+        # A size is believed once the blob's own head repeats it; until then a large one costs a head only.
+        spans = [(int(places[k]), 9 + int(sizes[k]) * int(sizes[k] <= SMALL)) for k in order]
+        for k, read in zip(order, self._read(spans), strict=True):
+            size = int(sizes[k])
+            if len(read) >= 9 and struct.unpack_from("<i", read, 3)[0] == size:
+                data = read[9:] if size <= SMALL else self.file.read_at(size, int(places[k]) + 9)
                 out[k] = data if len(data) == size else None
         return out
 

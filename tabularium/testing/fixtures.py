@@ -34,6 +34,17 @@ def _orders(t: pa.Table) -> tuple[list[Column], int]:
     ], 1
 
 
+def _split(part: str) -> Callable[[pa.Table], tuple[list[Column], int]]:
+    """Orders below 100, and the others' odd or even keys: tables of unlike size with keys that overlap."""
+
+    def build(t: pa.Table) -> tuple[list[Column], int]:
+        key = np.asarray(t["o_orderkey"])
+        inside = {"low": key < 100, "odd": (key >= 100) & (key % 2 == 1), "even": (key >= 100) & (key % 2 == 0)}
+        return _orders(t.filter(pa.array(inside[part])))
+
+    return build
+
+
 def _customer(t: pa.Table) -> tuple[list[Column], int]:
     v = {c: t[c].to_pylist() for c in t.column_names}
     return [
@@ -88,6 +99,9 @@ def _unsupported(t: pa.Table) -> tuple[list[Column], int]:
 #: Fixture name: (source table, order, columns and number of keys, block KiB).
 FIXTURES: dict[str, tuple[str, list[str], Callable[[pa.Table], tuple[list[Column], int]], int]] = {
     "orders": ("orders", ["o_orderkey"], _orders, 2),
+    "split_1": ("orders", ["o_orderkey"], _split("low"), 1),
+    "split_2": ("orders", ["o_orderkey"], _split("odd"), 2),
+    "split_3": ("orders", ["o_orderkey"], _split("even"), 1),
     "customer": ("customer", ["c_custkey"], _customer, 2),
     "nulls": ("customer", ["c_custkey"], _nulls, 2),
     "events": ("events", ["event_id"], _events, 4),

@@ -4,6 +4,7 @@ import random
 import shutil
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -126,6 +127,22 @@ def test_scans(spark, folder):
     assert T.read_table(spark, folder, "keyed", columns=["S", "k"]).columns == ["s", "k"]
 
 
+def test_leading_rows_read_their_blocks_only(spark, folder, tmp_path):
+    whole = T.in_physical_order(T.read_table(spark, folder, "heap", rowIds=True))
+    for n in (0, 1, 16, 17, 400, 9000, 9999):
+        found = T.leading_rows(spark, folder, "heap", n)
+        assert found.collect() == whole.limit(n).collect()
+    path = files.companions(folder, "heap")[0][1]
+    header = files.header_of(path)
+    per = (header.block_size - L.BLOCK_HEAD) // header.record_size
+    assert [files.leading_blocks(path, header, n) for n in (1, per, per + 1)] == [(1, 1), (1, per), (2, per + 1)]
+    for k, n in enumerate((3, 0, 500, 4)):
+        write_table(str(tmp_path), f"part{k}", [Column("v", "Long", 4, [1000 * k + j for j in range(n)])], kib=1)
+    got = [(r["_table"], r["v"]) for r in T.leading_rows(spark, str(tmp_path), "part*", 300).collect()]
+    assert got == [("part0", j) for j in range(3)] + [("part2", 2000 + j) for j in range(297)]
+    assert T.leading_rows(spark, str(tmp_path), "part1", 5).collect() == []
+
+
 def test_views(spark, folder):
     meta = T.read_meta(spark, folder, "keyed").collect()[0]
     assert (meta["record_count"], meta["has_index"], meta["has_blobs"], meta["field_types"]) == (9000, True, False, ["Long", "Long", "Number", "Alpha"])
@@ -156,6 +173,9 @@ def test_cursor(spark, folder):
     assert not cursor.read() and seen == [tuple(r) for r in T.range_scan(spark, folder, "keyed", C.compare("k", "<", 3), ordered=True).collect()]
     with pytest.raises(KeyError):
         T.Cursor(spark.range(1))["nope"]
+    with T.Cursor(spark.range(9)) as open_cursor:
+        assert open_cursor.read() and open_cursor.read()
+    assert not open_cursor.read() and open_cursor.current is None
 
 
 def write(path, name="t", **options):
@@ -232,6 +252,24 @@ def test_blobs(spark, tmp_path):
     assert {r["v"] for r in T.read_table(spark, str(tmp_path), "b").collect()} == {None}
 
 
+def test_neighbouring_blobs_share_reads(spark, tmp_path, monkeypatch):
+    rnd = random.Random(5)
+    values = [rnd.randbytes(rnd.choice((3, 40, 900, 5000))) for _ in range(300)] + [rnd.randbytes(files.SMALL + 7)]
+    write_table(str(tmp_path), "many", [Column("k", "Long", 4, list(range(1, 302))), Column("v", "Blob", 10, values)], keys=1)
+    path = files.companions(str(tmp_path), "many")[0]
+    header = files.header_of(path[1])
+    references = np.concatenate([r for r, _, _ in files.records(path[1], header, 0, header.file_blocks)])[:, 4:14]
+    blobs = files.Blobs(path[3])
+    reads = []
+    monkeypatch.setattr(blobs, "file", type("Counted", (), {"read_at": lambda _, n, at, f=blobs.file: reads.append(n) or f.read_at(n, at)})())
+    backwards = blobs(np.ascontiguousarray(references[::-1]))
+    assert backwards == values[::-1] and len(reads) < 8 and max(reads) <= files.READ
+    wrong = references.copy()
+    wrong[0, 4:8] = [255, 255, 255, 127]  # a size beyond the file
+    wrong[1, 4:8] = [9, 0, 0, 0]  # a size that the blob's head denies
+    assert blobs(wrong)[:2] == [None, None] and blobs(wrong)[2:] == values[2:]
+
+
 def test_large_offsets_stay_exact():
     assert L.Header(8, 2048, 2, 255, 0, 65535, 0, 0, 12, 0, None, "t").block_at(65534) == 2048 + 65534 * 255 * 1024 > 1 << 31
 
