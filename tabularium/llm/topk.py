@@ -1,10 +1,14 @@
 """Exact top-k inner-product search with two cover trees.
 
-Queries and vectors are dealt into blocks; each pair of blocks is one task. A task indexes both sides with a cover tree:
+The tree's top level is one for all rows: cells around a bounded number of centres, to the nearest of which every vector is dealt,
+and large cells split into parts by hash. A query group (the queries of a cell, QUERY_BLOCK of them at most) first meets one
+part of its own cell, and then those parts of cells that may hold something better. Each meeting is one group of a co-grouped job, which
+indexes both sides with a cover tree:
 a node has a centre, covers its members within a radius, and its children are centred on members found farthest first.
 For a query node Q and a data node P no score between members exceeds
     <q, p> + |q| * radius(P) + |p| * radius(Q) + radius(Q) * radius(P),
-so the pair is dropped once that lies below the worst k-th score of Q's queries. What remains is scored exactly, in integers.
+so the pair is dropped once that lies below the worst k-th score of Q's queries; cells are dropped by the same bound, before
+their rows are shuffled. What remains is scored exactly, in integers.
 
 Of equal vectors only the k + 1 with the smallest ids can be among anyone's k best, so a vector that very many rows share
 costs no more than k + 1 rows. Vectors that are null or hold null or non-finite components take no part; vectors of different
@@ -13,14 +17,20 @@ lengths don't meet; rows that repeat an id and its vector count once.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..runtime import ship, written
+from ..runtime import remove, ship, written
 
 QUERY_BLOCK, DATA_BLOCK, LEAF, FANOUT = 4096, 16384, 64, 32
+#: Cells of the top level (but one for each length at least), rows a cell before there are so many, and rows to pick centres from.
+CELLS, CELL_ROWS, SAMPLE = 128, 4096, 1024
+#: What no score lies below, and the rounding of bounds by their terms.
+NOTHING, SLACK = int(np.iinfo(np.int64).min), 1e-9
 
 
 class CoverTree:
@@ -71,16 +81,21 @@ class CoverTree:
 
 
 class Best:
-    """The k best (score, id) of each query so far, ties to smaller ids."""
+    """The k best (score, id) of each query so far, ties to smaller ids; what lies below a query's floor doesn't count."""
 
-    def __init__(self, queries: int, k: int) -> None:
+    def __init__(self, queries: int, k: int, floor: np.ndarray | None = None) -> None:
         self.k = k
+        self.floor = np.full(queries, NOTHING) if floor is None else floor
         self.score = np.full((queries, k), np.iinfo(np.int64).min)
         self.id = np.full((queries, k), np.iinfo(np.int64).max)
 
+    def worst(self, rows: np.ndarray) -> int:
+        """The score that something new has to reach to matter to any of these queries."""
+        return int(np.maximum(self.score[rows, -1], self.floor[rows]).min())
+
     def add(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray, own: np.ndarray) -> None:
         """scores [rows, ids]; own: the queries' own ids, which don't count."""
-        hopeful = (scores >= self.score[rows, -1][:, None]) & (ids[None, :] != own[:, None])
+        hopeful = (scores >= np.maximum(self.score[rows, -1], self.floor[rows])[:, None]) & (ids[None, :] != own[:, None])
         for k in np.flatnonzero(hopeful.any(1)):
             at = hopeful[k]
             score = np.concatenate([self.score[rows[k]], scores[k, at]])
@@ -89,9 +104,9 @@ class Best:
             self.score[rows[k]], self.id[rows[k]] = score[best], who[best]
 
 
-def search(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, id, score) of each query's k best among vectors; integer rows on both sides."""
-    best = Best(len(queries), k)
+def search(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query id, id, score) of each query's k best among vectors that reach its floor; integer rows on both sides."""
+    best = Best(len(queries), k, floor)
     small = len(queries) and len(vectors) and float(np.abs(queries).max(initial=0)) * float(np.abs(vectors).max(initial=0)) * max(1, queries.shape[1]) < 2**53
     q_rows, p_rows = (queries.astype(np.float64), vectors.astype(np.float64))
     exact_q, exact_p = (q_rows, p_rows) if small else (queries, vectors)
@@ -99,8 +114,9 @@ def search(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors:
 
     def bounds(q: int, nodes: list[int]) -> np.ndarray:
         p = np.array(nodes)
-        most = p_tree.centres[p] @ q_tree.centres[q] + q_tree.norms[q] * p_tree.radii[p] + p_tree.norms[p] * q_tree.radii[q] + q_tree.radii[q] * p_tree.radii[p]
-        return most + 1e-9 * (np.abs(most) + 1)
+        middle = p_tree.centres[p] @ q_tree.centres[q]
+        more = q_tree.norms[q] * p_tree.radii[p] + p_tree.norms[p] * q_tree.radii[q] + q_tree.radii[q] * p_tree.radii[p]
+        return middle + more + SLACK * (np.abs(middle) + more + 1)
 
     def score(q: int, p: int) -> None:
         a, b = q_tree.rows[q], p_tree.rows[p]
@@ -111,7 +127,7 @@ def search(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors:
         most = bounds(q, nodes)
         for i in np.argsort(-most):
             p = nodes[i]
-            if most[i] < best.score[q_tree.rows[q], -1].min():
+            if most[i] < best.worst(q_tree.rows[q]):
                 break  # all that follow are bounded lower still
             if not q_tree.children[q] and not p_tree.children[p]:
                 score(q, p)
@@ -133,19 +149,75 @@ def quantised(vectors: DataFrame, scale: float = 256.0) -> DataFrame:
     return vectors.select("vec_id", "embedding").filter(whole).select("vec_id", F.expr(f"transform(embedding, x -> cast(floor({scale}D * cast(x as double)) as bigint))").alias("v"))
 
 
+def centres_of(rows: DataFrame) -> dict[int, np.ndarray]:
+    """Centres of the tree's top level by the vectors' length: the more rows the more of them, fewer than 2 * CELLS in all.
+
+    They are picked farthest first from the SAMPLE rows with the smallest hash of their id. Where they lie only decides how
+    much is pruned; every row is dealt to the nearest, and a length that the sample misses has one cell without bounds.
+    """
+    most = int(min(CELLS, max(1, rows.count() // CELL_ROWS)))
+    sample = [np.array(r["v"], np.float64) for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").collect()]
+    out = {}
+    for dim in sorted({len(x) for x in sample})[:most]:
+        points = np.stack([x for x in sample if len(x) == dim])
+        share = max(1, most * len(points) // max(1, len(sample)))
+        chosen, near = [0], ((points - points[0]) ** 2).sum(1)
+        while len(chosen) < share and near.max() > 0:
+            chosen.append(int(near.argmax()))
+            near = np.minimum(near, ((points - points[chosen[-1]]) ** 2).sum(1))
+        out[dim] = points[chosen]
+    return out
+
+
+def dealt(rows: DataFrame, centres: dict[int, np.ndarray]) -> DataFrame:
+    """rows (vec_id, v) with dim, cell and far: the vector's length, the nearest of its centres and the distance from it."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = batch.column(1)
+            at, flat = np.asarray(v.offsets).astype(np.int64), np.asarray(v.values)
+            dims, cell, far = np.diff(at), np.zeros(len(v), np.int32), np.full(len(v), np.inf)
+            for dim in set(dims.tolist()) & centres.keys():
+                pick = np.flatnonzero(dims == dim)
+                points, near = flat[at[pick][:, None] + np.arange(dim)].astype(np.float64), centres[dim]
+                cell[pick] = ((near**2).sum(1) - 2 * points @ near.T).argmin(1)
+                far[pick] = np.sqrt(((points - near[cell[pick]]) ** 2).sum(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), v, pa.array(dims.astype(np.int32)), pa.array(cell), pa.array(far)], ["vec_id", "v", "dim", "cell", "far"])
+
+    return rows.select("vec_id", "v").mapInArrow(deal, "vec_id long, v array<bigint>, dim int, cell int, far double")
+
+
+def cell_bounds(spark: SparkSession, cells: DataFrame, centres: dict[int, np.ndarray]) -> DataFrame:
+    """(dim, q_cell, cell, bound): no score between q_cell's queries and cell's vectors exceeds the bound. (2 * CELLS)**2 rows at most."""
+    known = [r for r in cells.filter(F.col("dim").isin(list(centres))).collect()] if centres else []
+    out = []
+    for q in known:
+        for p in known:
+            if q["dim"] == p["dim"] and q["queries"]:
+                a, b = centres[q["dim"]][q["cell"]], centres[p["dim"]][p["cell"]]
+                terms = np.array([a @ b, np.sqrt(a @ a) * p["radius"], np.sqrt(b @ b) * q["q_radius"], p["radius"] * q["q_radius"]])
+                out.append((q["dim"], q["cell"], p["cell"], float(terms.sum() + SLACK * (np.abs(terms).sum() + 1))))
+    return spark.createDataFrame(out, "dim int, q_cell int, cell int, bound double")
+
+
 def top_k(vectors: DataFrame, is_query: str, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k best of quantised vectors (vec_id, v) for the rows where is_query holds."""
     spark = vectors.sparkSession
     ship(spark)
-    rows = written(vectors.select("vec_id", "v").distinct(), "vectors")
+    rows = written(vectors.select("vec_id", "v").filter("v is not null").distinct(), "vectors")
+    centres = centres_of(rows)
+    placed = written(dealt(rows, centres).withColumn("is_query", F.coalesce(F.expr(is_query), F.lit(False))), "placed")
+    far_query = F.max(F.when(F.col("is_query"), F.col("far")))
+    cells = placed.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.count_if("is_query").alias("queries"), F.max("far").alias("radius"), far_query.alias("q_radius"))
+    parts = lambda n, block: F.ceil(F.col(n) / block).cast("int")
+    cells = written(cells.withColumns({"parts": parts("n", DATA_BLOCK), "q_parts": parts("queries", QUERY_BLOCK)}), "cells")
+    of_cell = cells.select("dim", "cell", "parts", "q_parts")
+    part = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
     same = Window.partitionBy(F.xxhash64("v"), "v").orderBy("vec_id")
-    data = rows.withColumn("__same", F.row_number().over(same)).filter(F.col("__same") <= k + 1).drop("__same")
-    queries = rows.filter(is_query)
-    n_data, n_queries = rows.count(), queries.count()
-    data_blocks, query_blocks = max(1, -(-n_data // DATA_BLOCK)), max(1, -(-n_queries // QUERY_BLOCK))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.select(F.size("v").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int").alias("qb"), every(data_blocks).alias("pb"), "vec_id", "v")
-    right = data.select(F.size("v").alias("dim"), every(query_blocks).alias("qb"), F.pmod(F.xxhash64("vec_id"), F.lit(data_blocks)).cast("int").alias("pb"), "vec_id", "v")
+    data = placed.withColumn("__same", F.row_number().over(same)).filter(F.col("__same") <= k + 1).join(of_cell, ["dim", "cell"]).withColumn("part", part("parts"))
+    queries = placed.filter("is_query").join(of_cell, ["dim", "cell"]).withColumn("q_part", part("q_parts")).withColumnRenamed("cell", "q_cell")
+    every = lambda n: F.explode(F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)))
+    by, group = ["dim", "q_cell", "q_part", "cell", "part"], ["dim", "q_cell", "q_part"]
 
     def unpack(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         v = t.column("v").combine_chunks()
@@ -153,13 +225,33 @@ def top_k(vectors: DataFrame, is_query: str, k: int = 5) -> DataFrame:
         return np.asarray(t.column("vec_id")), flat.reshape(t.num_rows, -1) if t.num_rows and len(flat) else np.zeros((t.num_rows, 0), np.int64)
 
     def pair(a: pa.Table, b: pa.Table) -> pa.Table:
-        query, who, score = search(*unpack(a), *unpack(b), k) if a.num_rows and b.num_rows else (np.zeros(0, np.int64),) * 3
+        empty = (np.zeros(0, np.int64),) * 3
+        query, who, score = search(*unpack(a), *unpack(b), k, np.asarray(a.column("floor"))) if a.num_rows and b.num_rows else empty
         return pa.table({"query_id": pa.array(query, pa.int64()), "vec_id": pa.array(who, pa.int64()), "score": pa.array(score, pa.int64())})
 
-    by = ("dim", "qb", "pb")
-    found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(pair, "query_id long, vec_id long, score long")
+    def searched(left: DataFrame, right: DataFrame, name: str) -> DataFrame:
+        # Both sides come from one table, so one gets columns of its own.
+        right = right.select(*[F.col(c).alias(c) for c in (*by, "vec_id", "v")])
+        met = left.select(*by, "vec_id", "v", "floor").groupBy(*by).cogroup(right.groupBy(*by))
+        return written(met.applyInArrow(pair, "query_id long, vec_id long, score long"), name)
+
+    # Each query group first meets a part of its own cell, which gives its queries something to beat.
+    home = F.pmod(F.col("q_part"), F.col("parts"))
+    left = queries.withColumns({"cell": F.col("q_cell"), "part": home, "floor": F.lit(NOTHING)})
+    right = data.withColumn("q_cell", F.col("cell")).withColumn("q_part", every("q_parts")).filter(home == F.col("part"))
+    near = searched(left, right, "near")
+    floors = near.groupBy(F.col("query_id").alias("vec_id")).agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
+    queries = written(queries.select(*group, "vec_id", "v").join(floors, "vec_id", "left").withColumn("floor", F.coalesce("floor", F.lit(NOTHING))), "queries")
+    # Then only the cells whose bound reaches the worst of the group's k-th scores.
+    worst = queries.groupBy(*group).agg(F.min("floor").alias("worst"))
+    reached = worst.join(F.broadcast(cell_bounds(spark, cells, centres)), ["dim", "q_cell"], "left").filter("bound is null or bound >= worst")
+    reached = reached.select(*group, F.coalesce("cell", F.lit(0)).alias("cell")).join(of_cell.select("dim", "cell", "parts"), ["dim", "cell"])
+    visits = written(reached.withColumn("part", every("parts")).filter((F.col("cell") != F.col("q_cell")) | (F.col("part") != home)).select(*by), "visits")
+    far = searched(queries.join(visits, group), data.drop("q_parts", "parts").join(visits, ["dim", "cell", "part"]), "far")
+    for done in (rows, placed, cells, queries, visits):
+        remove(done)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return near.unionAll(far).distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 #: DuckDB SQL for the 5 best of the table embeddings, for ids divisible by 50.

@@ -156,6 +156,27 @@ def test_top_k_in_blocks(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == brute_top(rows, 5)
 
 
+@pytest.mark.parametrize("spread", [0.0, 60.0])
+def test_top_k_across_cells(spark, monkeypatch, spread):
+    """Cells of unlike size with several parts, vectors of two lengths, one vector that a third of all rows share."""
+    for name, value in (("QUERY_BLOCK", 3), ("DATA_BLOCK", 50), ("CELL_ROWS", 25), ("SAMPLE", 200)):
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(8)
+    axes = np.concatenate([np.eye(6), -np.eye(6)])
+    rows = [(k, (rng.normal(size=6) + spread * axes[k % 12]).tolist()) for k in range(400)]
+    rows += [(400 + k, [0.5] * 6) for k in range(200)] + [(600 + 10 * k, [float(k), 1.0]) for k in range(30)] + [(950, [2.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    met = []
+    monkeypatch.setattr(topk, "written", lambda df, name, f=topk.written: met.append((name, f(df, name))) or met[-1][1])
+    monkeypatch.setattr(topk, "remove", lambda df: None)
+    got = topk.top_k(topk.quantised(frame), "vec_id % 50 = 0", 5)
+    assert sorted(map(tuple, got.collect())) == brute_top(rows, 5)
+    made = dict(met)
+    groups, parts = made["queries"].select("dim", "q_cell", "q_part").distinct(), made["cells"].groupBy("dim").sum("parts")
+    all_pairs = groups.join(parts, "dim").groupBy().sum("sum(parts)").collect()[0][0] - groups.count()
+    assert made["cells"].count() > 5 and (made["visits"].count() < 0.7 * all_pairs if spread else made["visits"].count() <= all_pairs)
+
+
 def test_pruning_skips_far_clusters():
     rng = np.random.default_rng(7)
     vectors = np.concatenate([rng.integers(-3, 4, (300, 6)) + np.array([k * 200] + [0] * 5) for k in range(6)])
