@@ -2,7 +2,7 @@
 
 The tree's top level is one for all rows: cells around a bounded number of centres, to the nearest of which every vector is dealt,
 and large cells split into parts by hash. A query group (the queries of a cell, QUERY_BLOCK of them at most) first meets one
-part of its own cell, and then those parts of cells that may hold something better. Each meeting is one group of a co-grouped job, which
+part of its own cell, and then those parts of cells that may hold something better, together with other small groups that go there. Each meeting is one group of a co-grouped job, which
 indexes both sides with a cover tree:
 a node has a centre, covers its members within a radius, and its children are centred on members found farthest first.
 For a query node Q and a data node P no score between members exceeds
@@ -28,7 +28,7 @@ from ..runtime import remove, ship, written
 
 QUERY_BLOCK, DATA_BLOCK, LEAF, FANOUT = 4096, 16384, 64, 32
 #: Cells of the top level (but one for each length at least), rows a cell before there are so many, and rows to pick centres from.
-CELLS, CELL_ROWS, SAMPLE = 128, 4096, 1024
+CELLS, CELL_ROWS, SAMPLE = 128, 16384, 1024
 #: What no score lies below, and the rounding of bounds by their terms.
 NOTHING, SLACK = int(np.iinfo(np.int64).min), 1e-9
 
@@ -188,16 +188,23 @@ def dealt(rows: DataFrame, centres: dict[int, np.ndarray]) -> DataFrame:
 
 
 def cell_bounds(spark: SparkSession, cells: DataFrame, centres: dict[int, np.ndarray]) -> DataFrame:
-    """(dim, q_cell, cell, bound): no score between q_cell's queries and cell's vectors exceeds the bound. (2 * CELLS)**2 rows at most."""
-    known = [r for r in cells.filter(F.col("dim").isin(list(centres))).collect()] if centres else []
-    out = []
-    for q in known:
+    """(dim, q_cell, chunk, cell, bound): no score between q_cell's queries and cell's vectors exceeds the bound.
+
+    Neighbouring cells with few queries make one chunk of QUERY_BLOCK queries at most. (2 * CELLS)**2 rows at most.
+    """
+    known = cells.filter(F.col("dim").isin(list(centres))).orderBy("dim", "cell").collect() if centres else []
+    out: list[tuple[int, int, int, int, float]] = []
+    chunk = load = 0
+    for k, q in enumerate(known):
+        if load + q["queries"] > QUERY_BLOCK or k and q["dim"] != known[k - 1]["dim"]:
+            chunk, load = chunk + 1, 0
+        load += q["queries"]
         for p in known:
             if q["dim"] == p["dim"] and q["queries"]:
                 a, b = centres[q["dim"]][q["cell"]], centres[p["dim"]][p["cell"]]
                 terms = np.array([a @ b, np.sqrt(a @ a) * p["radius"], np.sqrt(b @ b) * q["q_radius"], p["radius"] * q["q_radius"]])
-                out.append((q["dim"], q["cell"], p["cell"], float(terms.sum() + SLACK * (np.abs(terms).sum() + 1))))
-    return spark.createDataFrame(out, "dim int, q_cell int, cell int, bound double")
+                out.append((q["dim"], q["cell"], chunk, p["cell"], float(terms.sum() + SLACK * (np.abs(terms).sum() + 1))))
+    return spark.createDataFrame(out, "dim int, q_cell int, chunk int, cell int, bound double")
 
 
 def top_k(vectors: DataFrame, is_query: str, k: int = 5) -> DataFrame:
@@ -217,7 +224,7 @@ def top_k(vectors: DataFrame, is_query: str, k: int = 5) -> DataFrame:
     data = placed.withColumn("__same", F.row_number().over(same)).filter(F.col("__same") <= k + 1).join(of_cell, ["dim", "cell"]).withColumn("part", part("parts"))
     queries = placed.filter("is_query").join(of_cell, ["dim", "cell"]).withColumn("q_part", part("q_parts")).withColumnRenamed("cell", "q_cell")
     every = lambda n: F.explode(F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)))
-    by, group = ["dim", "q_cell", "q_part", "cell", "part"], ["dim", "q_cell", "q_part"]
+    group, block = ["dim", "q_cell", "q_part"], ["dim", "cell", "part"]
 
     def unpack(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         v = t.column("v").combine_chunks()
@@ -229,7 +236,7 @@ def top_k(vectors: DataFrame, is_query: str, k: int = 5) -> DataFrame:
         query, who, score = search(*unpack(a), *unpack(b), k, np.asarray(a.column("floor"))) if a.num_rows and b.num_rows else empty
         return pa.table({"query_id": pa.array(query, pa.int64()), "vec_id": pa.array(who, pa.int64()), "score": pa.array(score, pa.int64())})
 
-    def searched(left: DataFrame, right: DataFrame, name: str) -> DataFrame:
+    def searched(left: DataFrame, right: DataFrame, by: list[str], name: str) -> DataFrame:
         # Both sides come from one table, so one gets columns of its own.
         right = right.select(*[F.col(c).alias(c) for c in (*by, "vec_id", "v")])
         met = left.select(*by, "vec_id", "v", "floor").groupBy(*by).cogroup(right.groupBy(*by))
@@ -239,15 +246,16 @@ def top_k(vectors: DataFrame, is_query: str, k: int = 5) -> DataFrame:
     home = F.pmod(F.col("q_part"), F.col("parts"))
     left = queries.withColumns({"cell": F.col("q_cell"), "part": home, "floor": F.lit(NOTHING)})
     right = data.withColumn("q_cell", F.col("cell")).withColumn("q_part", every("q_parts")).filter(home == F.col("part"))
-    near = searched(left, right, "near")
+    near = searched(left, right, [*group, "cell", "part"], "near")
     floors = near.groupBy(F.col("query_id").alias("vec_id")).agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
     queries = written(queries.select(*group, "vec_id", "v").join(floors, "vec_id", "left").withColumn("floor", F.coalesce("floor", F.lit(NOTHING))), "queries")
     # Then only the cells whose bound reaches the worst of the group's k-th scores.
     worst = queries.groupBy(*group).agg(F.min("floor").alias("worst"))
     reached = worst.join(F.broadcast(cell_bounds(spark, cells, centres)), ["dim", "q_cell"], "left").filter("bound is null or bound >= worst")
-    reached = reached.select(*group, F.coalesce("cell", F.lit(0)).alias("cell")).join(of_cell.select("dim", "cell", "parts"), ["dim", "cell"])
-    visits = written(reached.withColumn("part", every("parts")).filter((F.col("cell") != F.col("q_cell")) | (F.col("part") != home)).select(*by), "visits")
-    far = searched(queries.join(visits, group), data.drop("q_parts", "parts").join(visits, ["dim", "cell", "part"]), "far")
+    reached = reached.select(*group, F.coalesce("chunk", F.lit(-1)).alias("chunk"), F.coalesce("cell", F.lit(0)).alias("cell")).join(of_cell.select("dim", "cell", "parts"), ["dim", "cell"])
+    visits = written(reached.withColumn("part", every("parts")).filter((F.col("cell") != F.col("q_cell")) | (F.col("part") != home)).select(*group, "chunk", "cell", "part"), "visits")
+    meetings = visits.select(*block, "chunk", "q_part").distinct()
+    far = searched(queries.join(visits, group), data.drop("q_parts", "parts").join(meetings, block), [*block, "chunk", "q_part"], "far")
     for done in (rows, placed, cells, queries, visits):
         remove(done)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
