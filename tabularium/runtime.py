@@ -12,6 +12,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = Path(__file__).resolve().parent
+#: Folders of the tables that written() made and remove() has not deleted, as Spark names them.
+_written: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,15 +38,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _written.update(x.rsplit("/", 1)[0] for x in out.inputFiles())
+    return out
 
 
 def remove(df: DataFrame) -> None:
-    """Delete the files of a table made by written() once nothing reads it any more."""
+    """Delete the files of all tables made by written() that df reads, once nothing reads them any more; other inputs stay."""
     spark = df.sparkSession
     jvm = spark.sparkContext._jvm
     for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(f)
+        if f not in _written:
+            continue
+        _written.discard(f)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
