@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import ship, written
+from ..runtime import remove, ship, written
 from .arrow_text import blocks, raw
 from .components import components
 from .shingles import WORDS, mixed, shingle_hashes, shingle_sets
@@ -168,7 +168,9 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int = WORDS, percent: in
     texts = texts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")))
     joined = pairs.select("a", "b").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     joined = joined.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    return joined.select("a", "b", "text_a", "text_b").mapInArrow(compare, f"a {kind}, b {kind}")
+    out = written(joined.select("a", "b", "text_a", "text_b").mapInArrow(compare, f"a {kind}, b {kind}"), "links")
+    remove(pairs)
+    return out
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -198,28 +200,33 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         of = lambda end: roots.select(F.col("id").alias(end), F.col("root").alias(f"r_{end}"))
         joined = components(links.join(of("a"), "a").join(of("b"), "b").select("r_a", "r_b"), "r_a", "r_b")
         merged = roots.join(joined.select(F.col("id").alias("root"), F.col("root").alias("__new")), "root", "left")
-        return written(merged.select("id", F.coalesce("__new", "root").alias("root")), "roots")
+        out = written(merged.select("id", F.coalesce("__new", "root").alias("root")), "roots")
+        remove(joined)
+        return out
 
     votes = members.groupBy("id", "low").agg(F.count("*").alias("n")).groupBy("id")
     nearest = written(votes.agg(F.min("low").alias("least"), F.max_by("low", F.struct("n", "low")).alias("most")), "nearest")
     stars = nearest.select(F.explode(F.array("least", "most")).alias("a"), F.col("id").alias("b")).filter("a < b").distinct()
-    links = written(confirmed(stars.join(end(signs, "a"), "a").join(end(signs, "b"), "b").filter(close), docs, words, percent), "links")
+    links = confirmed(stars.join(end(signs, "a"), "a").join(end(signs, "b"), "b").filter(close), docs, words, percent)
     roots = united(nearest.select("id", F.col("id").alias("root")), links)
     # Keys that still hold several components: compare across them.
     rooted = members.select("key", "number", "id").join(roots, "id")
     apart = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
-    open_ = written(rooted.join(apart.hint("shuffle_hash"), "key"), "open")
-    alone = shared_shingles(open_.select("id").distinct(), docs, words)
+    opened = written(rooted.join(apart.hint("shuffle_hash"), "key"), "open")
+    alone = shared_shingles(opened.select("id").distinct(), docs, words)
     # Shingles in common are at most those that others have, and must be percent of the set at least.
     able = F.col("n") - F.coalesce("alone", F.lit(0))
-    bounded = signs.join(open_.select("id").distinct(), "id", "semi").join(alone, "id", "left").withColumn("able", able).filter(F.col("able") * 100 >= F.col("n") * percent)
-    open_ = open_.join(bounded.select("id", "n", "able", "signature", "sketch"), "id")
+    bounded = signs.join(opened.select("id").distinct(), "id", "semi").join(alone, "id", "left").withColumn("able", able).filter(F.col("able") * 100 >= F.col("n") * percent)
+    open_ = opened.join(bounded.select("id", "n", "able", "signature", "sketch"), "id")
     most = F.least("m_a", "m_b")
     across = (F.col("a") < F.col("b")) & (F.col("r_a") != F.col("r_b")) & (most * 100 >= (F.col("n_a") + F.col("n_b") - most) * percent)
     more = end(open_, "a").join(end(open_.drop("number"), "b"), "key").filter(across & close & first_common("s_a", "s_b", "number")).select("a", "b")
-    links = written(confirmed(more, docs, words, percent), "links")
-    if links.take(1):
-        roots = united(roots, links)
+    others = confirmed(more, docs, words, percent)
+    if others.take(1):
+        roots, before = united(roots, others), roots
+        remove(before)
+    for done in (members, nearest, links, opened, others):
+        remove(done)
     by_set = classes.join(roots, "id", "left").select("h1", "h2", F.coalesce("root", "id").alias("__root"))
     out = signed.select("doc_id", "n_shingles", "h1", "h2").join(by_set, ["h1", "h2"], "left")
     root = F.coalesce("__root", "doc_id")
