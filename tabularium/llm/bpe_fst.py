@@ -267,14 +267,15 @@ class Transducer:
             open_ = open_[got[open_] != keys[open_]]
         return slot
 
-    def _advance(self, state: np.ndarray, byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Read a byte in each state, in place; what each transition is annotated with: the change in tokens, and the last token."""
+    def _advance(self, state: np.ndarray, byte: np.ndarray, want_last: bool) -> np.ndarray:
+        """Read a byte in each state, in place; what each transition is annotated with: the last token if asked, else the change in tokens."""
+        note = self.last if want_last else self.delta
         keys = state << 8 | byte
         slot = self._find(keys)
         if not len(slot) or slot.min() >= 0:
             state[:] = self.to[slot]
-            return self.delta[slot], self.last[slot]
-        delta, last, todo = np.empty(len(keys), np.int64), np.empty(len(keys), np.int64), np.arange(len(keys))
+            return note[slot]
+        noted, todo = np.empty(len(keys), np.int64), np.arange(len(keys))
         while len(todo):
             new = np.unique(keys[slot < 0])
             if len(new) > self.size - self.edges and self.edges:
@@ -283,19 +284,20 @@ class Transducer:
                 state[:] = self._clear(live)[back]
             else:
                 self._compile(new[: self.size - self.edges].tolist())
+            note = self.last if want_last else self.delta
             keys = state[todo] << 8 | byte[todo]
             slot = self._find(keys)
             known = slot >= 0
             at, found = todo[known], slot[known]
-            state[at], delta[at], last[at] = self.to[found], self.delta[found], self.last[found]
+            state[at], noted[at] = self.to[found], note[found]
             todo, keys, slot = todo[~known], keys[~known], slot[~known]
-        return delta, last
+        return noted
 
     def run(self, data: np.ndarray, begins: np.ndarray, firsts: np.ndarray, want_ids: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
         """Read bytes whose pre-tokens begin where begins is set and whose texts begin at firsts (sorted, non-empty texts).
 
-        Gives for each run of the machine the text it belongs to and its number of tokens, and if asked, the token
-        ordinal that ends at each byte that ends a token (else -1). A run begins with a pre-token, so its state map is
+        Gives for each run of the machine the text it belongs to and its number of tokens (zeros if ids are asked for), and if asked, the
+        token ordinal that ends at each byte that ends a token (else -1). A run begins with a pre-token, so its state map is
         constant and composes with the others by adding counts.
         """
         n = len(data)
@@ -319,10 +321,11 @@ class Transducer:
             for k in range(min(STRIDE, int(lengths[0]) - low)):
                 now_live = int(np.searchsorted(-lengths[:live], -(low + k), "left"))
                 state[:now_live] &= kept[k, :now_live]
-                delta, last = self._advance(state[:now_live], bytes_[k, :now_live])
-                counts[:now_live] += delta
+                noted = self._advance(state[:now_live], bytes_[k, :now_live], want_ids)
                 if want_ids:
-                    tokens[k, :now_live] = last
+                    tokens[k, :now_live] = noted
+                else:
+                    counts[:now_live] += noted
             if want_ids:
                 inside = np.arange(low, low + STRIDE)[:, None] < lengths[:live]
                 ends[at[inside]] = tokens[inside]
@@ -395,7 +398,7 @@ class Transducer:
         at = np.flatnonzero(full >= 0)
         edges = np.searchsorted(at, offsets)
         values = full[at].astype(np.uint32)
-        return counts, [values[edges[k] : edges[k + 1]] for k in range(n_texts)]
+        return np.diff(edges), [values[edges[k] : edges[k + 1]] for k in range(n_texts)]
 
 
 @lru_cache(2)
