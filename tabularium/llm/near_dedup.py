@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import remove, ship, written
+from ..runtime import release, remove, ship, written
 from .arrow_text import blocks, raw
 from .components import components
 from .shingles import WORDS, mixed, shingle_hashes, shingle_sets
@@ -38,6 +38,8 @@ SYMBOLS, CHUNKS, BITS = 64, 16, 14
 DISTANCE = 2 * CHUNKS - 1
 #: Buckets of the parity sketch, one bit each.
 SKETCH = 512
+#: Keys of a document that are dealt at once.
+AT_ONCE = 16
 #: Link documents with PERCENT * union <= 100 * intersection.
 PERCENT = 80
 _FACTORS = mixed(np.arange(1, SYMBOLS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -93,13 +95,13 @@ def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return docs.select("doc_id", docs["text"].cast("string").alias("text")).mapInArrow(sign, f"doc_id {kind}, n_shingles long, h1 long, h2 long, signature array<long>, sketch array<long>")
 
 
-def index_keys(signs: DataFrame) -> DataFrame:
-    """(key, number, id) of signs (id, signature): each chunk without each of its symbols in turn.
+def index_keys(signs: DataFrame, first: int = 0, last: int = 4 * CHUNKS - 1) -> DataFrame:
+    """(key, number, id) of signs (id, signature): each chunk without each of its symbols in turn; of these keys the first to the last.
 
     The keys are numbered and each is worked out from its number. All of them in one expression make a method too long to be compiled.
     """
     masks = F.array(*[F.lit(sum(((1 << BITS) - 1) << (BITS + 1) * j for j in range(4) if j != k)) for k in range(4)])
-    each = signs.select("id", "signature", F.explode(F.sequence(F.lit(0), F.lit(4 * CHUNKS - 1))).alias("number"))
+    each = signs.select("id", "signature", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("number"))
     return each.select(F.xxhash64("number", F.get("signature", (F.col("number") / 4).cast("int")).bitwiseAND(F.get(masks, F.col("number") % 4))).alias("key"), "number", "id")
 
 
@@ -144,7 +146,7 @@ def shared_shingles(ids: DataFrame, docs: DataFrame, words: int = WORDS) -> Data
                 yield pa.RecordBatch.from_arrays([rows.column(0).take(at), pa.array(np.concatenate(sets).view(np.int64))], ["id", "shingle"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = texts_of(docs, ids).join(ids.select(F.col("id").alias("doc_id")), "doc_id", "semi").dropDuplicates(["doc_id"])
+    texts = texts_of(docs, ids).join(ids.select(F.col("id").alias("doc_id")), "doc_id").dropDuplicates(["doc_id"])
     each = texts.mapInArrow(explode, f"id {kind}, shingle long")
     return each.groupBy("shingle").agg(F.count("*").alias("n"), F.min("id").alias("id")).filter("n = 1").groupBy("id").agg(F.count("*").alias("alone"))
 
@@ -186,9 +188,17 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     # One document stands for each set.
     found = signed.filter("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch"))
     classes = written(found, "classes")
-    keys = index_keys(classes.select("id", "signature"))
-    shared = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high")
-    members = written(keys.join(shared.select("key", "low").hint("shuffle_hash"), "key"), "members")
+    release(docs.sparkSession)
+
+    def shared_keys(first: int) -> DataFrame:
+        # Both uses of the dealt rows read one exchange.
+        keys = index_keys(classes.select("id", "signature"), first, first + AT_ONCE - 1).repartition("key")
+        shared = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high")
+        out = written(keys.join(shared.select("key", "low").hint("shuffle_hash"), "key"), "members")
+        release(docs.sparkSession)
+        return out
+
+    members = reduce(DataFrame.unionAll, [shared_keys(k) for k in range(0, 4 * CHUNKS, AT_ONCE)])
     signs = classes.select("id", "n", "signature", "sketch")
     end = lambda rows, at: rows.withColumnsRenamed({"id": at, "root": f"r_{at}", "n": f"n_{at}", "able": f"m_{at}", "signature": f"s_{at}", "sketch": f"p_{at}"})
     close = (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
@@ -213,6 +223,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     rooted = members.select("key", "number", "id").join(roots, "id")
     apart = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
     opened = written(rooted.join(apart.hint("shuffle_hash"), "key"), "open")
+    release(docs.sparkSession)
     alone = shared_shingles(opened.select("id").distinct(), docs, words)
     # Shingles in common are at most those that others have, and must be percent of the set at least.
     able = F.col("n") - F.coalesce("alone", F.lit(0))
@@ -222,6 +233,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     across = (F.col("a") < F.col("b")) & (F.col("r_a") != F.col("r_b")) & (most * 100 >= (F.col("n_a") + F.col("n_b") - most) * percent)
     more = end(open_, "a").join(end(open_.drop("number"), "b"), "key").filter(across & close & first_common("s_a", "s_b", "number")).select("a", "b")
     others = confirmed(more, docs, words, percent)
+    release(docs.sparkSession)
     if others.take(1):
         roots, before = united(roots, others), roots
         remove(before)
