@@ -24,8 +24,10 @@ import numpy as np
 
 #: Characters of a chunk of the pre-token machine, bytes of a run of the token machine and of a pass over it, compiled transitions kept.
 CHUNK, RUN, STRIDE, MAX_EDGES = 128, 1024, 64, 1_200_000
+#: Bytes of texts whose pre-tokens are found together.
+PART = 1 << 20
 #: Results of stability tests kept.
-MOST_STABLE = 400_000
+MOST_STABLE = 100_000
 _OPEN = struct.Struct("<iii")
 
 # Character classes of the pre-token machine: letter, number, other, space, other white space; apostrophes that open a
@@ -138,6 +140,21 @@ def boundaries(points: np.ndarray, breaks: np.ndarray) -> np.ndarray:
     return out.T.ravel()[:n]
 
 
+def _begins(body: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+    """For bytes of UTF-8 texts that begin at firsts, whether each begins a pre-token. Whole texts of about PART bytes are looked at together."""
+    begins = np.zeros(len(body), bool)
+    low = 0
+    while low < len(firsts):
+        high = max(low + 1, int(np.searchsorted(firsts, firsts[low] + PART)))
+        a, b = int(firsts[low]), int(firsts[high]) if high < len(firsts) else len(body)
+        part = body[a:b]
+        points = np.frombuffer(part.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
+        lead = np.flatnonzero((part & 0xC0) != 0x80)
+        begins[a:b][lead[boundaries(points, np.searchsorted(lead, firsts[low:high] - a))]] = True
+        low = high
+    return begins
+
+
 class Transducer:
     """The token machine of one vocabulary. size bounds the compiled transitions; beyond it they are compiled anew."""
 
@@ -368,9 +385,11 @@ class Transducer:
                 keep[a:b] = False
             np.add.at(counts, np.searchsorted(offsets, [a for a, _, _ in cuts], "right") - 1, 1)
             firsts = np.unique(np.concatenate([firsts, [b for _, b, _ in cuts]]))
-            place = np.concatenate([[0], np.cumsum(keep)])
             body = data[keep]
-            here = place[firsts]
+            del keep
+            opens, closes, _ = (np.array(x, np.int64) for x in zip(*cuts, strict=True))
+            gone = np.concatenate([[0], np.cumsum(closes - opens)])  # bytes cut out before each special string and after the last
+            here = firsts - gone[np.searchsorted(closes, firsts, "right")]
             own = np.searchsorted(offsets, firsts, "right") - 1
             real = np.append(np.diff(here), len(body) - here[-1]) > 0 if len(here) else np.zeros(0, bool)
             real &= firsts < len(data)
@@ -379,25 +398,19 @@ class Transducer:
             own = np.searchsorted(offsets, firsts, "right") - 1
         ends = np.zeros(0, np.int32)
         if len(body):
-            points = np.frombuffer(body.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
-            lead = np.flatnonzero((body & 0xC0) != 0x80)
-            begins = np.zeros(len(body), bool)
-            begins[lead[boundaries(points, np.searchsorted(lead, firsts))]] = True
-            text, found, ends = self.run(body, begins, firsts, want_ids)
+            text, found, ends = self.run(body, _begins(body, firsts), firsts, want_ids)
             np.add.at(counts, own[text], found)
         if not want_ids:
             return counts, None
-        full = np.full(len(data), -1, np.int64)
-        got = np.flatnonzero(ends >= 0) if len(body) else np.zeros(0, np.int64)
-        ids = self.id[ends[got]] if len(got) else np.zeros(0, np.int64)
+        # The rest goes over the bytes in place: several arrays of whole blocks would be most of a worker's memory.
+        at = np.flatnonzero(ends >= 0) if len(body) else np.zeros(0, np.int64)
+        values = self.id[ends[at]].astype(np.uint32)
+        del ends
         if cuts:
-            full[np.flatnonzero(keep)[got]] = ids
-            full[[b - 1 for _, b, _ in cuts]] = [number for _, _, number in cuts]
-        else:
-            full[got] = ids
-        at = np.flatnonzero(full >= 0)
+            at = np.concatenate([at + gone[np.searchsorted(opens - gone[:-1], at, "right")], closes - 1])
+            order = np.argsort(at, kind="stable")
+            at, values = at[order], np.concatenate([values, np.array([number for _, _, number in cuts], np.uint32)])[order]
         edges = np.searchsorted(at, offsets)
-        values = full[at].astype(np.uint32)
         return np.diff(edges), [values[edges[k] : edges[k + 1]] for k in range(n_texts)]
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import ship, written
+from ..runtime import setting, ship, written
 from .arrow_text import WIDE_BYTES, blocks
 from .bpe_fst import transducer
 
@@ -158,7 +158,10 @@ def pack(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def pack_documents(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """Documents (doc_id, text) packed into sequences of at most `window` tokens: one row a piece."""
-    return pack(written(token_pieces(docs, tokenizer, window, end_id, with_ids), "pieces"), window)
+    # A batch is little more than a block: batches of 10,000 rows would lie in a worker and its executor several times over.
+    with setting(docs.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch", WIDE_BYTES * 15 // 16):
+        pieces = written(token_pieces(docs, tokenizer, window, end_id, with_ids), "pieces")
+    return pack(pieces, window)
 
 
 def sequences(packed: DataFrame, window: int = WINDOW) -> DataFrame:
