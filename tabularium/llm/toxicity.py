@@ -28,6 +28,8 @@ BITS, BEGINNINGS, LEVELS, FOLDS, MOST, LEAST = 20, (4, 5, 6), (1, 2, 3, 5), 4, 2
 #: Occurrences a word that are told apart, besides.
 RATES = (0.005, 0.02)
 MAX_TRAIN = 4000
+#: Training rows, and features, that the driver works on together.
+SOME, PIECE = 500, 1 << 16
 #: Ratios of a text's bytes, and which of them is the logarithm of its number of words.
 RATIOS, WORDS_AT = 6, 4
 _WORD = np.zeros(256, bool)
@@ -94,18 +96,26 @@ class Linear:
             self.constant = float(y[0]) if len(y) else 0.0
             return
         n, positive = len(y), y.sum()
-        flat = np.concatenate(rows)
-        seen = np.bincount(flat, minlength=1 << BITS).astype(float)
-        hit = np.bincount(flat, np.repeat(y, [len(r) for r in rows]), minlength=1 << BITS)
-        miss = seen - hit
-        a, b, c, d = hit, miss, positive - hit, (n - positive) - miss
-        chi = n * (a * d - b * c) ** 2 / np.maximum((a + b) * (c + d) * (a + c) * (b + d), 1)
+        seen, hit = np.zeros(1 << BITS), np.zeros(1 << BITS)
+        for k in range(0, n, SOME):  # a few rows at a time: the driver holds the sample once
+            part = rows[k : k + SOME]
+            flat = np.concatenate(part)
+            seen += np.bincount(flat, minlength=1 << BITS)
+            hit += np.bincount(flat, np.repeat(y[k : k + SOME], [len(r) for r in part]), minlength=1 << BITS)
+        chi = np.zeros(1 << BITS)
+        for k in range(0, 1 << BITS, PIECE):
+            some = slice(k, k + PIECE)
+            a, b = hit[some], seen[some] - hit[some]
+            c, d = positive - a, (n - positive) - b
+            chi[some] = n * (a * d - b * c) ** 2 / np.maximum((a + b) * (c + d) * (a + c) * (b + d), 1)
         chi[seen < 3] = 0
+        del seen, hit
         chosen = np.argsort(-chi, kind="stable")[:MOST]
         self.chosen = np.sort(chosen[chi[chosen] >= LEAST])
         self.mean, self.scale = dense.mean(0), dense.std(0) + 1e-6
         x = np.zeros((n, len(self.chosen) + dense.shape[1] + 1), np.float32)
-        place = np.full(1 << BITS, -1)
+        del chi
+        place = np.full(1 << BITS, -1, np.int32)
         place[self.chosen] = np.arange(len(self.chosen))
         for k, r in enumerate(rows):
             at = place[r]
@@ -151,8 +161,10 @@ class Chain:
         self.used = np.zeros(1 << BITS, bool)
         for u in used:
             self.used[u] = True
-        every = np.arange(1 << BITS)
-        self.used = np.logical_or.reduce([self.used[at_level(every, k)] for k in range(len(LEVELS) + len(RATES))])
+        some, self.used = self.used, np.zeros(1 << BITS, bool)
+        for a in range(0, 1 << BITS, PIECE):
+            every = np.arange(a, a + PIECE)
+            self.used[a : a + PIECE] = np.logical_or.reduce([some[at_level(every, k)] for k in range(len(LEVELS) + len(RATES))])
 
     def probabilities(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """[texts, categories]."""
@@ -209,17 +221,27 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], max_train:
 
     names = ["features", "ratios", *(f"c{k}" for k in range(len(categories)))]
     found = joined.mapInArrow(read, "features array<int>, ratios array<double>, " + ", ".join(f"{c} double" for c in names[2:])).toArrow()
-    order = sorted(range(found.num_rows), key=lambda i: found.column(1)[i].as_py())  # the same folds whatever order rows arrive in
-    found = found.take(pa.array(order, pa.int64()))
-    rows = [x.values.to_numpy(zero_copy_only=False).astype(np.int64) for x in found.column(0)]
-    ratios = np.array(found.column(1).to_pylist(), float).reshape(-1, RATIOS)
-    values = np.column_stack([np.asarray(found.column(2 + k).to_numpy(zero_copy_only=False), float) for k in range(len(categories))])
-    chain = fit_chain(rows, ratios, values)
-    del found, rows, ratios, values
+    chain = chain_of(found, len(categories))
+    del found
     trim()
     return chain
 
 
+def chain_of(found: pa.Table, categories: int) -> Chain:
+    """A chain fitted on rows (features, ratios, one label a category). Features stay where Arrow has them."""
+    ratios = found.column(1).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, RATIOS)
+    order = np.array(sorted(range(len(ratios)), key=lambda i: ratios[i].tolist()), np.int64)  # the same folds whatever order rows arrive in
+    rows = [row for chunk in found.column(0).chunks for row in _lists(chunk)]
+    values = np.column_stack([np.asarray(found.column(2 + k).to_numpy(zero_copy_only=False), float) for k in range(categories)])
+    return fit_chain([rows[i] for i in order], ratios[order], values[order])
+
+
+def _lists(chunk: pa.ListArray) -> list[np.ndarray]:
+    """The lists of a chunk without nulls, as views."""
+    flat, edges = chunk.values.to_numpy(), chunk.offsets.to_numpy()
+    return [flat[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+
 def score(docs: DataFrame, chain: Chain, categories: list[str]) -> DataFrame:
     """(doc_id, p_<category>, ...) for every document."""
     ship(docs.sparkSession)
