@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 from tabularium.llm import line_dedup
 from tabularium.llm.arrow_text import raw
@@ -96,3 +97,27 @@ def test_links_between_members_that_begin_no_key(spark):
     got = components_of(spark, lines)
     assert 40 < sum(a != k for k, a in enumerate(want)) < 120
     assert [got[k]["first_doc_id"] for k in range(len(lines))] == want
+
+
+def test_signatures_are_of_every_shingle_at_the_ends_of_blocks(spark):
+    rnd, block = random.Random(8), line_dedup.BLOCK
+    lines = ["a", "日本語", "é" * 300] + ["".join(rnd.choice("abcß語😀") for _ in range(n + 4)) for b in (1, 2, 5) for n in (b * block - 1, b * block, b * block + 1)]
+    hashed = lambda data: xxhash.xxh64(data, seed=42).intdigest()
+    want = set()
+    for line in lines:
+        least = [min((hashed(x.encode("utf-32-be")) & 0xFFFFFFFF) * f & 0xFFFFFFFF for x in character_set(line)) for f in line_dedup.factors()]
+        values = [hashed(m.to_bytes(8, "little")) & (1 << line_dedup.BITS) - 1 for m in least]
+        side = line_dedup.SIDE
+        want.add(tuple(sum(values[side * g + r] << (line_dedup.BITS + 1) * r for r in range(side)) for g in range(side)))
+    ansi = spark.conf.get("spark.sql.ansi.enabled")
+    signs = line_dedup.signed_lines(line_dedup.lines_of(spark.createDataFrame(list(enumerate(lines)), LINES)))
+    assert {tuple(r)[2:] for r in signs.collect()} == want and len(want) == len(lines)
+    assert spark.conf.get("spark.sql.ansi.enabled") == ansi
+
+
+def test_documents_are_split_once(spark, monkeypatch):
+    times, lines_of = [], line_dedup.lines_of
+    monkeypatch.setattr(line_dedup, "lines_of", lambda *a: times.append(a) or lines_of(*a))
+    got = components_of(spark, ["one line of text", "one line of text", "another one", ""])
+    assert {k: (r["first_doc_id"], r["n_shingles"]) for k, r in got.items()} == {0: (0, 12), 1: (0, 12), 2: (2, 7)}
+    assert len(times) == 1
